@@ -32,3 +32,35 @@ def row_count(df: DataFrame) -> int:
 def lower_ascii(column):
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def blank_trim(column):
+    return F.btrim(column, F.lit(" \t\n\x0b\f\r"))
+
+
+def sized(small: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``small``, to be broadcast if it has at most ``rows`` rows; it should be cheap to count.
+
+    Beyond that size the join shuffles both sides.
+    """
+    return F.broadcast(small) if len(small.limit(rows + 1).select(F.lit(1)).offset(rows).take(1)) == 0 else small
+
+
+def without_lines(df: DataFrame, text_col: str, gone_col: str) -> DataFrame:
+    """``df`` with the lines at the places in ``gone_col`` (from 0, distinct; null: none) cut out of ``text_col``.
+
+    Lines and places are sorted together, so the work is in proportion to n log n for n lines.
+    """
+    marked = F.sort_array(
+        F.concat(
+            F.transform(F.split(text_col, "\n"), lambda line, i: F.struct(i.alias("at"), F.lit(1).alias("kind"), line.alias("line"))),
+            F.transform(gone_col, lambda at: F.struct(at.cast("int").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("line"))),
+        )
+    )
+    before = F.concat(F.array(F.lit(None).cast("struct<at:int,kind:int,line:string>")), F.col("__marked"))
+    line = F.zip_with("__marked", before, lambda m, b: F.when((m["kind"] == 1) & ~F.coalesce((b["kind"] == 0) & (b["at"] == m["at"]), F.lit(False)), m["line"]))
+    return (
+        df.withColumn("__marked", F.when(F.col(gone_col).isNotNull(), marked))
+        .withColumn(text_col, F.when(F.col("__marked").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(line, lambda x: x.isNotNull()), "\n")))
+        .drop("__marked")
+    )
