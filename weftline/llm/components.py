@@ -33,7 +33,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Alternates large-star and small-star steps. Both are joins of the edges with one minimum per
     node, so a node with very many neighbours is a skewed join, which AQE splits, and never a
-    collected group. Each round is checkpointed. An edge with a null end, or from a node to
+    collected group; the minima are checkpointed, since AQE splits no join with an aggregate in it. An edge with a null end, or from a node to
     itself, is left out; an empty input gives an empty result. Node ids may be of any type that
     can be ordered.
     """
@@ -49,9 +49,10 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if state[0] == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpointed(large)
+        low = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = checkpointed(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(following)
