@@ -33,8 +33,9 @@ def _keys(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBat
         )
 
 
-def _unit(vectors: list[bytes], kind: str) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), kind).astype(np.float64).reshape(len(vectors), -1)
+def _unit(vectors: list[bytes] | pa.Array, kind: str) -> np.ndarray:
+    joined = b"".join(vectors) if isinstance(vectors, list) else pa.concat_arrays([vectors]).buffers()[2]
+    x = np.frombuffer(joined, kind).astype(np.float64).reshape(len(vectors), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -98,20 +99,22 @@ def _compare(key: tuple, table: pa.Table, kind: str, threshold: float) -> pa.Tab
     empty = pa.table({"node": pa.array([], pa.string()), "links": pa.array([], pa.int64()), "parent": pa.array([], pa.string())})
     if not len(left) or not len(right):
         return empty
-    x = _unit(table["vec"].to_pylist(), kind)
+    x = _unit(table["vec"].combine_chunks(), kind)
     near = x[left] @ x[right].T >= threshold
-    if between:  # of two cells that both hold the pair, only the one with the smaller number counts it
-        cells = table["cells"].to_pylist()
-        of = np.array([c[0] for c in cells])[right]
-        for h in np.unique(of[of < cell]):
-            also = np.array([h in cells[i] for i in left])
-            near[np.ix_(also, of == h)] = False
-    elif low == high:
+    if not between and low == high:
         near = np.triu(near, 1)
     a, b = np.nonzero(near)
+    a, b = left[a], right[b]
+    if between and len(a):  # of two cells that both hold the pair, only the one with the smaller number counts it
+        cells = table["cells"].combine_chunks()
+        flat = cells.flatten().to_numpy()
+        of = flat[np.cumsum(sizes := cells.value_lengths().to_numpy()) - sizes]
+        held = np.zeros((len(x), int(flat.max()) + 2), bool)
+        held[np.repeat(np.arange(len(x)), sizes), flat + 1] = True
+        once = ~((of[b] < cell) & held[a, of[b] + 1])
+        a, b = a[once], b[once]
     if not len(a):
         return empty
-    a, b = left[a], right[b]
     weight = table["weight"].to_numpy()
     links = np.bincount(a, weight[b], len(x)) + np.bincount(b, weight[a], len(x))
     label = spanning_labels(len(x), a, b)
@@ -193,7 +196,8 @@ def near_vectors(
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("src"), F.col("parent").alias("dst"))).withColumnRenamed("id", "node")
     named = classes.drop("vec").join(linked, "node", "left").join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = checkpointed(named)
+    first = checkpointed(named.groupBy("component").agg(F.min("first_id").alias("component_id")))
     named = named.join(first, "component").select("node", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     return keyed.drop("vec").join(named, "node", "left").select(
         F.col("id").alias(id_col),
