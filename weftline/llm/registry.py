@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from weftline.llm import linededup, mixing, packing, quality, simhash, urls, vectors
+from weftline.llm import langid, licenses, linededup, mixing, packing, quality, secrets, simhash, urls, vectors
 
-_MODULES = (vectors, quality, simhash, packing, linededup, mixing, urls)
+_MODULES = (vectors, quality, simhash, packing, secrets, linededup, licenses, langid, mixing, urls)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
