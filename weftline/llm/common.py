@@ -34,6 +34,15 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def whole_row(df: DataFrame):
+    """All columns as one, so that no column of ``df`` can clash with one that an operator adds."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+
+
+def own_columns(names: list[str]) -> list:
+    return [F.col(f"__row.`{c}`") for c in names]
+
+
 def blank_trim(column):
     return F.btrim(column, F.lit(" \t\n\x0b\f\r"))
 

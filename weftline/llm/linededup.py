@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import NOT_BREAK, blank_trim, checkpointed, read_table, sized, without_lines
+from weftline.llm.common import blank_trim, checkpointed, read_table, sized, whole_row, without_lines
 
 
 def _windows(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -47,16 +47,18 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
     """
     gone = checkpointed(later_windows(documents, id_col, text_col, width))
     gone = gone.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
-    own = documents.withColumn("__own", F.xxhash64(text_col))
-    joined = own.join(sized(gone, 50_000), own[id_col].eqNullSafe(gone["__id"]) & (own["__own"] == gone["__digest"]), "left")
-    return without_lines(joined.drop("n_removed"), text_col, "__gone").select(
-        *(F.col(f"`{c}`") for c in documents.columns if c != "n_removed"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed")
+    own = documents.select(whole_row(documents), F.col(id_col).alias("__own_id"), F.xxhash64(text_col).alias("__own"))
+    joined = own.join(sized(gone, 50_000), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
+    cut = without_lines(joined.select("__row", "__gone", F.col(f"__row.{text_col}").alias("__text")), "__text", "__gone")
+    return cut.select(
+        *(F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in documents.columns if c != "n_removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "text", F.when(F.col("n_removed") > 0, F.col("n_removed")).otherwise(0).cast("long").alias("n_removed"))
+    return found.select("doc_id", "text", "n_removed")
 
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import NOT_BREAK, checkpointed, read_table, row_count, sized
+from weftline.llm.common import NOT_BREAK, checkpointed, own_columns, read_table, row_count, sized, whole_row
 
 WEIGHTS = (5, 2, 1)
 _WORD = re.compile(NOT_BREAK + "+")
@@ -95,7 +95,8 @@ def _slots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
             )
 
 
-ROW = ("id", "digest", "source_key", "copy")
+#: What names a row: digests of its id and source and of its text, and a number among rows alike in these.
+ROW = ("key", "digest", "copy")
 
 
 def mix(
@@ -104,8 +105,8 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, taken)``: every document with its size and its source's target, and what the mix takes.
 
-    ``rows``: id, digest, source_key, copy (which together name a row), size, source_size, target.
-    ``taken``: the same key, and shard, slot, epoch, start and words: a part of that document in a
+    ``rows``: id, key, digest, copy (the last three name a row), size, source_size, target.
+    ``taken``: the same names, and shard, slot, epoch, start and words: a part of that document in a
     block of ``length`` words that fills a slot of an output shard.
 
     Within a source, documents are dealt into buckets by hash, and each bucket's words, in order
@@ -121,14 +122,14 @@ def mix(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = documents.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.xxhash64(source_col).alias("source_key"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("id"), F.xxhash64(id_col, source_col).alias("key"), F.xxhash64(text_col).alias("digest"), F.xxhash64(source_col).alias("source_key"), F.col(source_col).alias("source"),
         F.regexp_count(text, F.lit(NOT_BREAK + "+")).cast("long").alias("size"),
     )
-    plain = plain.withColumn("copy", F.row_number().over(Window.partitionBy("id", "digest", "source_key").orderBy("size")))
+    plain = plain.withColumn("copy", F.row_number().over(Window.partitionBy("key", "digest").orderBy("size")))
     plain = checkpointed(plain)
     buckets = max(1, -(-row_count(plain) // per_bucket))
-    in_bucket = Window.partitionBy("source_key", "bucket").orderBy(F.col("id").isNull(), "id", "digest", "copy")
-    dealt = plain.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("id", "digest", "copy"), F.lit(buckets)))
+    in_bucket = Window.partitionBy("source_key", "bucket").orderBy(F.col("id").isNull(), "id", *ROW)
+    dealt = plain.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64(*ROW), F.lit(buckets)))
     sums = dealt.groupBy("source_key", "bucket").agg(F.ceil(F.sum("size") / length).alias("blocks"))
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
@@ -149,21 +150,17 @@ def mix(
     cut = cut.withColumn("nth", F.explode(F.sequence(F.floor(F.col("begin") / length), F.floor((F.col("begin") + F.col("size") - 1) / length))))
     start = F.greatest(F.col("nth") * length - F.col("begin"), F.lit(0))
     end = F.least((F.col("nth") + 1) * length - F.col("begin"), "size")
-    parts = cut.select(*ROW, (F.col("base") + F.col("nth")).alias("block"), start.alias("start"), (end - start).alias("words"))
+    parts = cut.select(*ROW, "source_key", (F.col("base") + F.col("nth")).alias("block"), start.alias("start"), (end - start).alias("words"))
     taken = parts.join(slots, ["source_key", "block"]).select(*ROW, "shard", "slot", "epoch", "start", "words")
-    rows = plain.join(sized(sources.select("source_key", F.col("size").alias("source_size"), "target"), 10_000), "source_key").select(*ROW, "size", "source_size", "target")
+    rows = plain.join(sized(sources.select("source_key", F.col("size").alias("source_size"), "target"), 10_000), "source_key").select("id", *ROW, "size", "source_size", "target")
     return rows, taken
 
 
-def _same_row(left: DataFrame, right: DataFrame):
-    return [left[c].eqNullSafe(right[c]) for c in ROW]
-
-
 def taken_words(documents: DataFrame, **options) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes of it."""
     rows, taken = mix(documents, **options)
     sums = taken.groupBy(*ROW).agg(F.sum("words").alias("taken"))
-    return rows.join(sums, _same_row(rows, sums), "left").select(rows["id"].alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(sums, [*ROW], "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch], text_at: int, parts_at: int) -> Iterator[pa.RecordBatch]:
@@ -191,10 +188,11 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     _, taken = mix(documents, id_col, text_col, source_col, **options)
     parts = taken.groupBy(*ROW, "epoch").agg(F.collect_list(F.struct("start", "words")).alias("parts"))
-    parts = parts.withColumnsRenamed({c: f"__{c}" for c in (*ROW, "epoch", "parts")})
-    own = documents.withColumns({"__own_id": F.col(id_col), "__own_digest": F.xxhash64(text_col), "__own_source_key": F.xxhash64(source_col)})
-    own = own.withColumn("__own_copy", F.row_number().over(Window.partitionBy("__own_id", "__own_digest", "__own_source_key").orderBy(F.lit(0))))
-    joined = own.join(parts, [own[f"__own_{c}"].eqNullSafe(parts[f"__{c}"]) for c in ROW]).select(*(F.col(f"`{c}`") for c in documents.columns), "__parts")
+    own = documents.select(whole_row(documents), F.xxhash64(id_col, source_col).alias("key"), F.xxhash64(text_col).alias("digest"))
+    own = own.withColumn("__copy", F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.lit(0))))
+    # the copy is no key of the join, so that the window's partitions serve it and texts move once
+    joined = own.join(parts, ["key", "digest"]).where(F.col("__copy") - F.col("copy") == 0)
+    joined = joined.select(*(c.alias(f"c{i}") for i, c in enumerate(own_columns(documents.columns))), "parts")
     at = documents.columns.index(text_col)
     cut = joined.mapInArrow(partial(_cut_texts, text_at=at, parts_at=len(documents.columns)), documents.schema)
     return cut.withColumn("n_chars", F.length(text_col).cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else cut

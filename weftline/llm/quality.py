@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import BREAK, NOT_BREAK, blank_trim, checkpointed, read_table, sized, without_lines
+from weftline.llm.common import BREAK, NOT_BREAK, blank_trim, checkpointed, own_columns, read_table, sized, whole_row, without_lines
 
 #: Words in a window of which repeats are counted.
 WINDOW = 8
@@ -74,6 +74,21 @@ def frequent_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return hit.groupBy("host", "digest").agg(F.sum("words").cast("long").alias("removed_words"), F.sort_array(F.collect_list("at")).alias("removed"))
 
 
+_NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed", "kept")
+
+
+def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, most: int, least_words: int, least_share: float) -> DataFrame:
+    """Whole rows of ``documents`` beside the columns of ``_NEW``."""
+    lost = checkpointed(frequent_lines(documents, id_col, text_col, host_col, most)).withColumnsRenamed({"host": "__host", "digest": "__digest", "removed_words": "__removed_words", "removed": "__removed"})
+    rows = documents.select(whole_row(documents), _host(host_col).alias("__host"), F.xxhash64(text_col).alias("__digest"))
+    counted = base_counts(rows, f"__row.{text_col}")
+    left = F.col("n_words") - F.col("__removed_words")
+    depleted = F.coalesce((left < least_words) | (left < least_share * F.col("n_words")), F.lit(False))
+    return counted.join(sized(lost, 50_000), ["__host", "__digest"], "left").select(
+        "__row", *_NEW[:6], F.coalesce("__removed_words", F.lit(0).cast("long")).alias("removed_words"), F.col("__removed").alias("removed"), (~F.col("base_failed") & ~depleted).alias("kept")
+    )
+
+
 def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 100, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
     """``documents`` with the base counts, ``base_failed``, ``removed_words``, ``removed`` and ``kept``.
 
@@ -83,21 +98,19 @@ def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike in host and text get the same verdict; each row stays a row. An empty table gives an
     empty result. Own columns named like new ones are replaced, other extra columns kept.
     """
-    new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed", "kept")
-    lost = checkpointed(frequent_lines(documents, id_col, text_col, host_col, most)).withColumnsRenamed({"host": "__host", "digest": "__digest", "removed_words": "__removed_words", "removed": "__removed"})
-    own = [c for c in documents.columns if c not in new]
-    counted = base_counts(documents.select(*(F.col(f"`{c}`") for c in own), _host(host_col).alias("__host"), F.xxhash64(text_col).alias("__digest")), text_col)
-    left = F.col("n_words") - F.col("__removed_words")
-    depleted = F.coalesce((left < least_words) | (left < least_share * F.col("n_words")), F.lit(False))
-    return counted.join(sized(lost, 50_000), ["__host", "__digest"], "left").select(
-        *(F.col(f"`{c}`") for c in own), *new[:6], F.coalesce("__removed_words", F.lit(0).cast("long")).alias("removed_words"), F.col("__removed").alias("removed"), (~F.col("base_failed") & ~depleted).alias("kept")
-    )
+    judged = _judged(documents, id_col, text_col, host_col, most, least_words, least_share)
+    return judged.select(*own_columns([c for c in documents.columns if c not in _NEW]), *_NEW)
 
 
-def keep_good(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+def keep_good(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 100, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
     """The columns of ``documents``: those that are kept, without the lines removed from them."""
-    left = quality(documents, id_col, text_col, host_col, **limits).where("kept")
-    return without_lines(left, text_col, "removed").select(*(F.col(f"`{c}`") for c in documents.columns))
+    judged = _judged(documents, id_col, text_col, host_col, most, least_words, least_share)
+    # as a generator's output, since a filter on the verdict itself would be pushed through all
+    # columns that it comes from, with each step's expression copied into the next one's
+    left = judged.select("__row", "removed", F.explode(F.array("kept")).alias("kept")).where("kept")
+    return without_lines(left.select("__row", "removed", F.col(f"__row.{text_col}").alias("__text")), "__text", "removed").select(
+        *(F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in documents.columns)
+    )
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

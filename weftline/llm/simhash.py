@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import checkpointed, read_table
+from weftline.llm.common import checkpointed, own_columns, read_table, whole_row
 from weftline.llm.components import components, spanning_labels
 
 #: Reference fingerprints, the same in every task.
@@ -184,10 +184,10 @@ def keep_one_text(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     Of rows with the representative's id and text one stays. Extra columns are kept.
     """
     found = near_texts(documents, id_col, text_col, width, bits)
-    reps = found.select(F.col("rep_id").alias("__rep_id"), F.col("rep_digest").alias("__rep_digest")).distinct()
-    own = documents.withColumns({"__rep_digest": F.xxhash64(text_col), "__rep_id": F.col(id_col)})
-    kept = own.join(reps, own["__rep_id"].eqNullSafe(reps["__rep_id"]) & (own["__rep_digest"] == reps["__rep_digest"]), "left_semi")
-    return kept.dropDuplicates(["__rep_id", "__rep_digest"]).select(*documents.columns)
+    reps = found.select(F.xxhash64("rep_id").alias("__id"), F.col("rep_digest").alias("__digest")).distinct()
+    own = documents.select(whole_row(documents), F.xxhash64(id_col).alias("__id"), F.xxhash64(text_col).alias("__digest"))
+    kept = own.join(reps, ["__id", "__digest"], "left_semi")  # the same two keys twice, so that texts move once
+    return kept.dropDuplicates(["__id", "__digest"]).select(*own_columns(documents.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

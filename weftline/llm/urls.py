@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import lower_ascii, read_table, row_count
+from weftline.llm.common import lower_ascii, own_columns, read_table, row_count, whole_row
 
 #: Hex digits of the digest that the join uses.
 SHORT = 8
@@ -50,9 +50,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     rules = rules.select(F.coalesce("host", F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where("rule_host != ''")
     shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars")).distinct().collect()
     host, path = host_and_path(F.col(url_col))
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    kept = own_columns([c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
+    pages = pages.select(whole_row(pages), host.alias("host"), path.alias("path"))
     if not shapes:
-        return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return pages.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels, chars = (F.array(*(F.lit(n) for n in sorted({s[c] for s in shapes}))) for c in ("labels", "chars"))
     rules = rules.withColumn("rule", F.concat("rule_host", "rule_path")).withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.substring("digest", 1, SHORT))
     if row_count(rules) <= broadcast_rules:
@@ -72,7 +73,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     best = F.max(F.struct(F.length("rule").alias("length"), F.length("rule_host").alias("host_length"), (F.col("rule_verdict") == "block").alias("blocks"), "rule", "rule_verdict")).alias("best")
     judged = expanded.join(rules, "short").where("full = digest").groupBy("host", "path").agg(best)
     return pages.join(judged, ["host", "path"], "left").select(
-        *(F.col(f"`{c}`") for c in pages.columns), F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
+        *kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )
 
 
