@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import NOT_BREAK, checkpointed, own_columns, read_table, row_count, sized, whole_row
+from weftline.llm.common import NOT_BREAK, checkpointed, own_columns, read_table, sized, whole_row
 
 WEIGHTS = (5, 2, 1)
 _WORD = re.compile(NOT_BREAK + "+")
@@ -101,7 +101,7 @@ ROW = ("key", "digest", "copy")
 
 def mix(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, factor: float = 1.5, most: float = 2.0,
-    length: int = 64, per_shard: int = 4096, per_bucket: int = 1000, seed: int = 42,
+    length: int = 64, per_shard: int = 4096, per_bucket: int = 256, seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, taken)``: every document with its size and its source's target, and what the mix takes.
 
@@ -109,7 +109,7 @@ def mix(
     ``taken``: the same names, and shard, slot, epoch, start and words: a part of that document in a
     block of ``length`` words that fills a slot of an output shard.
 
-    Within a source, documents are dealt into buckets by hash, and each bucket's words, in order
+    Within a source, documents are dealt into buckets of about ``per_bucket`` by hash, and each bucket's words, in order
     of id, are cut into blocks; so a source with a third of all rows is many buckets, and only the
     buckets' block counts are summed up over a source. A source has as many slots as come nearest
     to its target. Each slot draws its shard, which makes the counts of the shards a multinomial
@@ -127,9 +127,10 @@ def mix(
     )
     plain = plain.withColumn("copy", F.row_number().over(Window.partitionBy("key", "digest").orderBy("size")))
     plain = checkpointed(plain)
-    buckets = max(1, -(-row_count(plain) // per_bucket))
+    buckets = plain.where("size > 0").groupBy("source_key").agg(F.ceil(F.count(F.lit(1)) / per_bucket).alias("buckets"))
+    buckets = sized(checkpointed(buckets), 10_000)
     in_bucket = Window.partitionBy("source_key", "bucket").orderBy(F.col("id").isNull(), "id", *ROW)
-    dealt = plain.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64(*ROW), F.lit(buckets)))
+    dealt = plain.where("size > 0").join(buckets, "source_key").withColumn("bucket", F.pmod(F.xxhash64(*ROW), "buckets"))
     sums = dealt.groupBy("source_key", "bucket").agg(F.ceil(F.sum("size") / length).alias("blocks"))
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
@@ -151,7 +152,8 @@ def mix(
     start = F.greatest(F.col("nth") * length - F.col("begin"), F.lit(0))
     end = F.least((F.col("nth") + 1) * length - F.col("begin"), "size")
     parts = cut.select(*ROW, "source_key", (F.col("base") + F.col("nth")).alias("block"), start.alias("start"), (end - start).alias("words"))
-    taken = parts.join(slots, ["source_key", "block"]).select(*ROW, "shard", "slot", "epoch", "start", "words")
+    # Spark takes the slots for as few as the runs that they come from; the hint keeps them from being broadcast
+    taken = parts.join(slots.hint("merge"), ["source_key", "block"]).select(*ROW, "shard", "slot", "epoch", "start", "words")
     rows = plain.join(sized(sources.select("source_key", F.col("size").alias("source_size"), "target"), 10_000), "source_key").select("id", *ROW, "size", "source_size", "target")
     return rows, taken
 
