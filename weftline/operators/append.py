@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.events import checksum, event_body
 from weftline.operators.folds import accepted_versions
 from weftline.operators.read import version_of
+from weftline.plans.lineage import checkpointed
 from weftline.schema import NO_SEQUENCE
 
 
@@ -36,7 +37,8 @@ def stamped(accepted: DataFrame, last_sequence: int = NO_SEQUENCE, order: str =
     Positions within range partitions are numbered in parallel; only one count for each partition
     comes together.
     """
-    ranged = accepted.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    # kept, since both the counts and the numbers read it: ranges drawn twice could differ
+    ranged = checkpointed(accepted.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
     counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(order))
