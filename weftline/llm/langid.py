@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import read_table
+from weftline.llm.common import checkpointed, read_table, sized
 
 UNKNOWN = "und"
 #: Lengths of the n-grams that stand in for unseen words, longest first.
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("draw"), id_col).alias("draw"))
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_lang / F.count(F.lit(1))).alias("share"))
-    drawn = rows.join(shares, "lang").where((F.col("draw") / 2.0**64 + 0.5) <= F.col("share")).select("lang", "text")
+    drawn = rows.join(sized(checkpointed(shares), 10_000), "lang").where((F.col("draw") / 2.0**64 + 0.5) <= F.col("share")).select("lang", "text")
     counts = drawn.mapInArrow(_count, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     counts = counts.where("n > 1").orderBy(F.desc("n"), "order", "gram", "lang").limit(model_rows).collect()
     return Backoff(sorted({c["lang"] for c in counts}), [tuple(c) for c in counts])
