@@ -47,12 +47,15 @@ def blank_trim(column):
     return F.btrim(column, F.lit(" \t\n\x0b\f\r"))
 
 
-def sized(small: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``small``, to be broadcast if it has at most ``rows`` rows; it should be cheap to count.
+def sized(small: DataFrame, rows: int, list_col: str | None = None, values: int = 2_000_000) -> DataFrame:
+    """``small``, to be broadcast if it has at most ``rows`` rows and ``values`` values in its lists.
 
-    Beyond that size the join shuffles both sides.
+    Beyond that size the join shuffles both sides. All columns but ``list_col`` should be of
+    bounded width, and the table cheap to count.
     """
-    return F.broadcast(small) if len(small.limit(rows + 1).select(F.lit(1)).offset(rows).take(1)) == 0 else small
+    held = F.sum(F.size(list_col)) if list_col else F.lit(0)
+    count, total = small.agg(F.count(F.lit(1)), F.coalesce(held, F.lit(0))).first()
+    return F.broadcast(small) if count <= rows and total <= values else small
 
 
 def without_lines(df: DataFrame, text_col: str, gone_col: str) -> DataFrame:

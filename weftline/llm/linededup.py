@@ -48,7 +48,7 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
     gone = checkpointed(later_windows(documents, id_col, text_col, width))
     gone = gone.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
     own = documents.select(whole_row(documents), F.col(id_col).alias("__own_id"), F.xxhash64(text_col).alias("__own"))
-    joined = own.join(sized(gone, 50_000), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
+    joined = own.join(sized(gone, 50_000, "__gone"), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
     cut = without_lines(joined.select("__row", "__gone", F.col(f"__row.{text_col}").alias("__text")), "__text", "__gone")
     return cut.select(
         *(F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in documents.columns if c != "n_removed"),

@@ -84,7 +84,7 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, mos
     counted = base_counts(rows, f"__row.{text_col}")
     left = F.col("n_words") - F.col("__removed_words")
     depleted = F.coalesce((left < least_words) | (left < least_share * F.col("n_words")), F.lit(False))
-    return counted.join(sized(lost, 50_000), ["__host", "__digest"], "left").select(
+    return counted.join(sized(lost, 50_000, "__removed"), ["__host", "__digest"], "left").select(
         "__row", *_NEW[:6], F.coalesce("__removed_words", F.lit(0).cast("long")).alias("removed_words"), F.col("__removed").alias("removed"), (~F.col("base_failed") & ~depleted).alias("kept")
     )
 
