@@ -166,7 +166,7 @@ def taken_words(documents: DataFrame, **options) -> DataFrame:
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch], text_at: int, parts_at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
         texts = []
         for text, parts in zip(batch.column(text_at).to_pylist(), batch.column(parts_at).to_pylist(), strict=True):
             at = [m.span() for m in _WORD.finditer(text)]

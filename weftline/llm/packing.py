@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -53,15 +54,16 @@ def encoder(name: str):
     import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    slow = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))  # for most texts it is not needed
+    with open(public_tokenizers.path(f"{name}.json")) as file:
+        special = [t["content"] for t in json.load(file)["added_tokens"]]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    cache = _Encoded(fast.encode_ordinary, 400_000)
+    cache = _Encoded(fast.encode_ordinary, 120_000)
 
     def encode(text: str) -> bytes:
         if _UNUSUAL.search(text) or any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(slow().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(cache.__getitem__, _PIECES.findall(text)))
 
     return encode
