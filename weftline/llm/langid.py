@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,30 @@ def _grams(word: str, order: int) -> list[str]:
     return [word[i : i + order] for i in range(len(word) - order + 1)]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (order 0) and n-grams by language, summed up over a few hundred rows."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words by language, summed up over a few hundred rows."""
     for whole in batches:
         for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-            words: Counter = Counter()
+            found: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for word, n in Counter(_words(text or "")).items():
-                    words[lang, word] += n
-            found: Counter = Counter()
-            for (lang, word), n in words.items():
-                found[lang, 0, word] += n
-                for order in ORDERS:
-                    for gram in _grams(word, order):
-                        found[lang, order, gram] += n
-            keys = list(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())],
-                ["lang", "order", "gram", "n"],
-            )
+                    found[lang, word] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their counts as order 0, and their n-grams, each as often as its word."""
+    for batch in batches:
+        by_lang: dict[str, dict] = {}
+        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found = by_lang.setdefault(lang, defaultdict(int))
+            found[0, word] += n
+            for order in ORDERS:
+                for gram in _grams(word, order):
+                    found[order, gram] += n
+        rows = [(lang, order, gram, n) for lang, found in by_lang.items() for (order, gram), n in found.items()]
+        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "order", "gram", "n"])
 
 
 class Backoff:
@@ -58,43 +64,67 @@ class Backoff:
         self.langs, self.memory = langs, memory
         column = {lang: i for i, lang in enumerate(langs)}
         self.rows: dict[int, dict[str, int]] = {order: {} for order in (0, *ORDERS)}
-        for _, order, gram, _ in counts:
-            own = self.rows[order]
-            own.setdefault(gram, len(own))
-        self.logs = {}
+        tables = [np.zeros((1, len(langs)))]  # the row of a word of which nothing is known
         for order, own in self.rows.items():
-            table = np.zeros((len(own), len(langs)))
-            for lang, _, gram, n in (c for c in counts if c[1] == order):
-                table[own[gram], column[lang]] += n
-            table += smoothing
-            self.logs[order] = np.log(table / table.sum(axis=0)) if len(own) else table
-        self.seen: dict[str, np.ndarray] = {}
-
-    def vector(self, word: str) -> np.ndarray:
-        """Log frequencies of a word; of an unseen one, the mean over its longest known n-grams."""
-        found = self.seen.get(word)
-        if found is None:
-            if len(self.seen) >= self.memory:
-                self.seen.clear()
-            found = self.seen[word] = self._vector(word)
-        return found
-
-    def _vector(self, word: str) -> np.ndarray:
+            some = [c for c in counts if c[1] == order]
+            first = sum(map(len, tables))
+            for _, _, gram, _ in some:
+                own.setdefault(gram, first + len(own))
+            table = np.full((len(own), len(langs)), smoothing)
+            for lang, _, gram, n in some:
+                table[own[gram] - first, column[lang]] += n
+            tables.append(np.log(table / table.sum(axis=0)) if len(own) else table)
+        self.logs = np.concatenate(tables)
+        self._forget()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("seen", "found")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen: dict[str, int] = {}
+        self.found = np.zeros((1024, len(self.langs)))
+
+    def known(self, word: str) -> list[int]:
+        """Rows whose mean stands for a word: its own, or those of its longest known n-grams."""
         row = self.rows[0].get(word)
         if row is not None:
-            return self.logs[0][row]
+            return [row]
         for order in ORDERS:
-            known = [row for row in map(self.rows[order].get, _grams(word, order)) if row is not None]
-            if known:
-                return self.logs[order][known].mean(axis=0)
-        return np.zeros(len(self.langs))
+            get = self.rows[order].get
+            if rows := [row for gram in _grams(word, order) if (row := get(gram)) is not None]:
+                return rows
+        return [0]
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words not seen yet; their rows are looked up together."""
+        rows = [self.known(word) for word in words]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        flat = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+        means = np.add.reduceat(self.logs[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+        at = len(self.seen)
+        while at + len(words) > len(self.found):
+            self.found = np.concatenate([self.found, np.zeros_like(self.found)])
+        self.found[at : at + len(words)] = means
+        self.seen.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def mean(self, words: list[str]) -> np.ndarray:
+        """Mean log frequencies of words. What is full is emptied between texts, never within one."""
+        if len(self.seen) > self.memory:
+            self._forget()
+        if new := [word for word in dict.fromkeys(words) if word not in self.seen]:
+            self._learn(new)
+        return self.found[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))].mean(axis=0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The likeliest language, and its share if all are as likely before as after a mean word."""
         words = _words(text or "")
         if not self.langs or not any(c.isalpha() for word in words for c in word):
             return UNKNOWN, 0.0
-        mean = np.add.reduce([n * self.vector(word) for word, n in Counter(words).items()]) / len(words)
+        mean = self.mean(words)
         share = np.exp(mean - mean.max())
         best = int(np.argmax(share))
         return self.langs[best], float(share[best] / share.sum())
@@ -110,7 +140,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("draw"), id_col).alias("draw"))
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_lang / F.count(F.lit(1))).alias("share"))
     drawn = rows.join(sized(checkpointed(shares), 10_000), "lang").where((F.col("draw") / 2.0**64 + 0.5) <= F.col("share")).select("lang", "text")
-    counts = drawn.mapInArrow(_count, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
+    words = drawn.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = words.mapInArrow(_count_grams, "lang string, order int, gram string, n long").groupBy("lang", "order", "gram").agg(F.sum("n").alias("n"))
     counts = counts.where("n > 1").orderBy(F.desc("n"), "order", "gram", "lang").limit(model_rows).collect()
     return Backoff(sorted({c["lang"] for c in counts}), [tuple(c) for c in counts])
 
