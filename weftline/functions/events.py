@@ -38,6 +38,15 @@ def render_event() -> Column:
     return F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), F.col(c).cast("string")) for name, c in fields))
 
 
+def render_record(stream="stream") -> Column:
+    """All fields of an event as text, its time in milliseconds; ``stream`` may be the name or the key of the stream."""
+    fields = (
+        ("RECORD_SIZE", F.col("rec_size")), ("TIMESTAMP", F.unix_millis(F.col("ts").cast("timestamp"))), ("STREAM", _column(stream)), ("VERSION", F.col("version")), ("SEQUENCE", F.col("sequence")),
+        ("TYPE_LENGTH", F.octet_length("type")), ("DATA_LENGTH", F.octet_length("data")), ("EVENT_TYPE", F.col("type")), ("DATA_STRING", F.col("data")),
+    )
+    return F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in fields))
+
+
 def render_block() -> Column:
     fields = (("STREAM", "stream"), ("START_VERSION", "start_version"), ("ENTRIES", "entries"), ("UNCOMPRESSED_SIZE", "bytes"))
     return F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), F.col(c).cast("string")) for name, c in fields))

@@ -7,9 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import codec
 from weftline.functions import events as fn
 from weftline.operators import append, blocks, lsm, ops, read, recover
 from weftline.schema import read_events
+from weftline.store import EventStore
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -99,6 +101,7 @@ on_events("flush_events", "SELECT stream, version FROM ev WHERE stream = '_syste
 # projections
 on_events("event_fields", "SELECT stream, version, sequence, ts, rec_size, octet_length(encode(type)) AS type_length, octet_length(encode(data)) AS data_length FROM ev", lambda ev: ev.select("stream", "version", "sequence", "ts", "rec_size", F.octet_length("type").cast("long").alias("type_length"), F.octet_length("data").cast("long").alias("data_length")))
 on_events("event_render", "SELECT 'RECORD_SIZE=' || rec_size || ', STREAM=' || stream || ', VERSION=' || version || ', SEQUENCE=' || sequence || ', TYPE=' || type || ', DATA=' || data AS text FROM ev", lambda ev: ev.select(fn.render_event().alias("text")))
+on_events("record_render", "SELECT 'RECORD_SIZE=' || rec_size || ', TIMESTAMP=' || epoch_us(ts) // 1000 || ', STREAM=' || stream || ', VERSION=' || version || ', SEQUENCE=' || sequence || ', TYPE_LENGTH=' || octet_length(encode(type)) || ', DATA_LENGTH=' || octet_length(encode(data)) || ', EVENT_TYPE=' || type || ', DATA_STRING=' || data AS text FROM ev", lambda ev: ev.select(fn.render_record().alias("text")))
 on_events("key_text", "SELECT stream || '@' || version AS key FROM ev", lambda ev: ev.select(fn.key_text().alias("key")))
 on_events("http_read", """SELECT version, '{"version":' || version || ',"type":"' || type || '","data":' || data || '}' AS body FROM ev WHERE stream = 'user-3' AND version >= 0""", lambda ev: read.read_page(ev, "user-3").select("version", fn.event_json().alias("body")))
 on_events("http_version", """SELECT stream, '{"version":' || max(version) || '}' AS body FROM ev GROUP BY stream""", lambda ev: read.stream_version(ev).select("stream", F.to_json(F.struct("version")).alias("body")))
@@ -226,6 +229,15 @@ def _keys(ev: DataFrame) -> DataFrame:
     return ev.select("stream", "version", stream_key_udf("stream").alias("stream_hash"), F.crc32(body).alias("crc32"), crc32c_udf(body).alias("crc32c"), adler32_udf(body).alias("adler32"))
 
 
+# the binary form of events
+on_events(
+    "record_codec",
+    "SELECT stream, version, sequence, epoch_us(ts) // 1000 AS millis, type, data, rec_size, true AS valid FROM ev",
+    lambda ev: ev.withColumn("stream_hash", F.xxhash64("stream")).select("stream", codec.decode_event(codec.encode_event()).alias("e")).select("stream", "e.version", "e.sequence", F.unix_millis("e.ts").alias("millis"), "e.type", F.col("e.data").cast("string").alias("data"), "e.rec_size", "e.valid"),
+)
+on_events("bit_sets", "SELECT stream, version, CAST(version AS BIGINT) AS same, CAST(bit_count(version) AS BIGINT) AS ones FROM ev", lambda ev: ev.withColumn("bits", codec.to_bits("version", 32)).select("stream", "version", codec.from_bits("bits").alias("same"), F.size(F.filter("bits", lambda b: b)).cast("long").alias("ones")))
+
+
 # streaming, run to the end of what is there
 def _shared(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see."""
@@ -261,3 +273,32 @@ def stream_append(spark, sf_dir):
         incoming.where(part).write.mode("append").parquet(f"{at}/in")
         streams.append_batches(streams.tail(spark, f"{at}/in", incoming.schema), f"{at}/log", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/log").select("stream", "version", "pos")
+
+
+# the store: events appended in parts, flushed and compacted in between
+def filled_store(spark: SparkSession, sf_dir: str) -> EventStore:
+    """Four parts are appended; three become runs, of which two are merged, and one stays in the memtable."""
+    store = EventStore(spark, _shared(spark, "store"))
+    incoming = read_events(spark, sf_dir).select("stream", F.col("sequence").alias("pos"), "type", "data")
+    quarter = incoming.agg((F.max("pos") / 4).cast("long")).first()[0] + 1
+    for part in range(4):
+        store.append(incoming.where(F.floor(F.col("pos") / quarter) == part))
+        if part < 3:
+            store.flush()
+    store.compact()
+    return store
+
+
+@query("store_read", "SELECT stream, version, type, data FROM ev")
+def store_read(spark, sf_dir):
+    return filled_store(spark, sf_dir).events().where("stream <> '_system'").select("stream", "version", "type", "data")
+
+
+@query("store_log", "SELECT stream, version, type, data FROM ev UNION ALL SELECT '_system', 0, 'FLUSH', '{}' UNION ALL SELECT '_system', 1, 'FLUSH', '{}' UNION ALL SELECT '_system', 2, 'FLUSH', '{}'")
+def store_log(spark, sf_dir):
+    return filled_store(spark, sf_dir).log().select("stream", "version", "type", "data")
+
+
+@query("store_segments", "SELECT * FROM (VALUES (0, CAST(2 AS BIGINT)), (1, CAST(0 AS BIGINT))) t(level, idx)", "")
+def store_segments(spark, sf_dir):
+    return filled_store(spark, sf_dir).segments()

@@ -1,11 +1,19 @@
-"""A data source for files of length-prefixed records: a 4-byte big-endian size, itself included."""
+"""Files of length-prefixed records: a 4-byte big-endian size, itself included, then the body.
+
+``read_records`` reads any file system that Spark does; the data source ``records`` reads paths
+that every executor can open.
+"""
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import partial
+from itertools import batched
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -54,3 +62,24 @@ class RecordSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(RecordSource)
+
+
+def _split(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for some in batched(records(content.as_py(), start), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(some)), pa.array([o for o, _ in some], pa.int64()), pa.array([b for _, b in some], pa.binary())], ["file", "offset", "body"])
+
+
+def read_records(spark: SparkSession, *paths: str, start: int = 0) -> DataFrame:
+    """(file, offset, body) of files that a segment's size bounds, well under 2 GB each; one file is one task's."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(partial(_split, start=start), "file string, offset long, body binary")
+
+
+def read_events(spark: SparkSession, *paths: str, start: int = 0) -> DataFrame:
+    """Events of binary log segments: (file, offset) and the fields of ``decode_event``."""
+    from weftline.functions.codec import big_endian, decode_event
+
+    found = read_records(spark, *paths, start=start)
+    record = F.concat(big_endian(F.octet_length("body") + 4, 4), "body")
+    return found.select("file", "offset", decode_event(record).alias("event")).select("file", "offset", "event.*")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.events import render_event
+from weftline.functions.events import render_block, render_event, render_record
+from weftline.operators.blocks import pack_blocks, with_blocks
 from weftline.operators.lsm import KEY
+from weftline.operators.ops import dump_summary
+from weftline.schema import BLOCK_BYTES
 
 #: Level from which runs are packed tighter.
 HIGH_LEVEL = 4
@@ -48,3 +51,13 @@ def empty_events(spark: SparkSession) -> DataFrame:
 
 def dump_text(events: DataFrame, path: str) -> None:
     events.select(render_event().alias("value")).write.mode("overwrite").text(path)
+
+
+def dump_blocks(events: DataFrame, path: str, budget: int = BLOCK_BYTES) -> None:
+    """Writes events as text: each block's header and its events, by stream and version, then the totals."""
+    blocks = pack_blocks(events, budget)
+    heads = blocks.select("stream", "start_version", F.lit(None).cast("int").alias("version"), F.concat(F.lit("----- "), render_block()).alias("value"))
+    rows = with_blocks(events, budget).select("stream", "version", "start_version").join(events, list(KEY)).select("stream", "start_version", "version", render_record().alias("value"))
+    total = dump_summary(blocks).select(F.concat(F.lit("TOTAL_BLOCKS: "), F.col("blocks"), F.lit(", TOTAL_ENTRIES: "), F.coalesce("entries", F.lit(0))).alias("value"))
+    every = heads.unionByName(rows).unionByName(total, allowMissingColumns=True)
+    every.orderBy(F.asc_nulls_last("stream"), "start_version", F.asc_nulls_first("version")).select("value").write.mode("overwrite").text(path)
