@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.events import event_json, is_flush, is_valid
+from weftline.functions.events import checksum, event_body, event_json, is_flush, is_valid
 from weftline.operators import append as appends
 from weftline.operators import lsm, read
 from weftline.plans.lineage import checkpointed
@@ -95,22 +95,29 @@ class EventStore:
         return self._read("log", LOG).where(~is_valid())
 
     # reads
+    def _segment_log(self) -> DataFrame:
+        """The segment log, read once; it has a few rows for each run that ever was."""
+        return self.spark.createDataFrame(self._read("segments", SEGMENTS).collect(), SEGMENTS)
+
     def segments(self) -> DataFrame:
         """(level, idx) of the live runs; an error if the segment log contradicts itself."""
-        log = self._read("segments", SEGMENTS)
+        log = self._segment_log()
         wrong = lsm.invalid_segment_ops(log).first()
         if wrong is not None:
             raise ValueError(f"the segment log is not consistent at {wrong.asDict()}")
         return lsm.segment_state(log)
 
-    def events(self) -> DataFrame:
-        """All events, each key once: the memtable's before those of runs, low levels and new runs first."""
+    def _sources(self) -> DataFrame:
+        """Events of the memtable (level -1) and of all live runs, a key as often as it is there."""
         live = [f"{self.path}/runs/level={s['level']}/idx={s['idx']}" for s in self.segments().collect()]
         newest = self._pending().withColumns({"level": F.lit(-1), "idx": F.lit(0).cast("long")})
-        if live:
-            runs = self.spark.read.schema(f"{LOG}, level int, idx long").option("basePath", f"{self.path}/runs").parquet(*live)
-            newest = newest.unionByName(runs)
-        return lsm.precedence(newest).drop("level", "idx")
+        if not live:
+            return newest
+        return newest.unionByName(self.spark.read.schema(f"{LOG}, level int, idx long").option("basePath", f"{self.path}/runs").parquet(*live))
+
+    def events(self) -> DataFrame:
+        """All events, each key once: the memtable's before those of runs, low levels and new runs first."""
+        return lsm.precedence(self._sources()).drop("level", "idx")
 
     def read(self, stream: str, from_version: int = 0, limit: int = PAGE) -> DataFrame:
         return read.read_page(self.events(), stream, from_version, limit)
@@ -120,7 +127,7 @@ class EventStore:
         return read.read_status(self.events(), self.spark.createDataFrame([(stream, from_version)], "stream string, version int")).first()["status"]
 
     def version(self, stream: str) -> int:
-        found = self.events().where(F.col("stream") == stream).agg(F.max("version")).first()[0]
+        found = self._sources().where(F.col("stream") == stream).agg(F.max("version")).first()[0]
         return NO_VERSION if found is None else found
 
     def read_json(self, stream: str, from_version: int = 0, limit: int = PAGE) -> str:
@@ -138,21 +145,25 @@ class EventStore:
         """
         if "expected" not in incoming.columns:
             incoming = incoming.withColumn("expected", F.lit(NO_VERSION))
-        decided = checkpointed(appends.append_expected(self.events().select("stream", "version"), incoming))
+        decided = checkpointed(appends.append_expected(self._sources().select("stream", "version"), incoming))
         if decided.where("ok").isEmpty():
             return decided
         accepted = incoming.select("stream", "pos", "type", "data").join(decided.where("ok").select("stream", "pos", "version"), ["stream", "pos"])
         last = self.last_sequence()
-        stamped = appends.stamped(accepted, last).withColumn("rec_size", rec_size())
-        stamped.select(*_names(LOG)).write.mode("errorifexists").parquet(f"{self.path}/log/batch={last + 1}")
+        self._write_batch(appends.stamped(accepted, last), last + 1)
         return decided
 
+    def _write_batch(self, stamped: DataFrame, first: int) -> None:
+        stamped.withColumn("rec_size", rec_size()).select(*_names(LOG)).write.mode("errorifexists").parquet(f"{self.path}/log/batch={first}")
+
     def append_event(self, stream: str, type: str, data: str, expected: int = NO_VERSION) -> int:
         """Appends one event and returns its version."""
-        found = self.append(self.spark.createDataFrame([(stream, 0, type, data, expected)], INCOMING)).first()
-        if not found["ok"]:
-            raise VersionMismatch(f"{stream} does not go on with version {expected}")
-        return found["version"]
+        version, sequence = self.version(stream) + 1, self.last_sequence() + 1
+        if expected not in (NO_VERSION, version):
+            raise VersionMismatch(f"{stream} goes on with version {version}, not {expected}")
+        one = self.spark.createDataFrame([(stream, version, sequence, type, data)], "stream string, version int, sequence long, type string, data string")
+        self._write_batch(one.withColumn("ts", F.current_timestamp()).withColumn("checksum", checksum(event_body())), sequence)
+        return version
 
     def _log_segments(self, ops: list[tuple[str, int, int, int | None]]) -> None:
         """One file, so that its operations hold together or not at all."""
@@ -160,7 +171,7 @@ class EventStore:
         self.spark.createDataFrame([(pos + i, *op) for i, op in enumerate(ops)], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{self.path}/segments")
 
     def _write_run(self, events: DataFrame, level: int, deleted: list[tuple[int, int]] = (), upto: int | None = None, partitions: int | None = None) -> tuple[int, int]:
-        ever = self._read("segments", SEGMENTS).select("level", "idx")  # dead runs too: readers may still have their files
+        ever = self._segment_log().select("level", "idx")  # dead runs too: readers may still have their files
         idx = lsm.next_idx(ever, self.spark.createDataFrame([(level,)], "level int")).first()["next_idx"]
         write_run(events, f"{self.path}/runs/level={level}/idx={idx}", level, partitions)
         self._log_segments([*(("DELETE", *d, None) for d in deleted), ("ADD", level, idx, upto)])
