@@ -14,7 +14,7 @@ from weftline.schema import BLOCK_BYTES
 #: Level from which runs are packed tighter.
 HIGH_LEVEL = 4
 #: Block codecs of the store and what Parquet has for them. LZ4 is written as Snappy, a codec of its
-#: kind: pages that Spark compresses as ``lz4_raw`` cannot always be read back ("last 5 bytes must be literals").
+#: kind: a run that Spark wrote as ``lz4_raw`` could not be read back ("last 5 bytes must be literals").
 CODECS = {"NONE": "none", "SNAPPY": "snappy", "LZ4_HIGH": "zstd", "LZ4": "snappy", "ZLIB": "gzip"}
 
 
