@@ -64,6 +64,18 @@ def test_recall_with_the_default_margin(spark, sf):
     assert near_vectors(read_table(spark, sf, "embeddings")).count() == read_table(spark, sf, "embeddings").count()
 
 
+def test_no_link_is_lost_in_low_rank_data(spark):
+    """The production setting on vectors that differ in 4 of 64 dimensions only."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 64))).astype(np.float32)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    found = {r.vec_id: r.n_links for r in near_vectors(vectors_table(spark, [(i, v.tolist()) for i, v in enumerate(x)])).collect()}
+    assert [found[i] for i in range(len(x))] == linked.sum(axis=1).tolist()
+
+
 def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 0.0, 0.0]), (None, [0.0, 1.0]), (10, [-0.0, 1.0])]
     table = vectors_table(spark, rows).selectExpr("*", "1 AS node", "2 AS links", "3 AS component_id", "4 AS dim")

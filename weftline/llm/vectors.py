@@ -131,18 +131,18 @@ def near_vectors(
     max_cells: int = 4096,
     sample: int = 32768,
     block: int = 512,
-    tail: float = 4.5,
+    tail: float = math.inf,
 ) -> DataFrame:
     """``(<id_col>, n_links, component_id, kept)``, one row per row of ``vectors``.
 
     Vectors with the same components are one class. The distinct ones go to the cells of a
     spherical k-means, fitted on at most ``sample`` of them (in expectation); sqrt(n)/2 cells,
     ``max_cells`` at most. A vector also goes, as a guest, to each cell whose bounding plane is
-    within a margin. With the margin sin(angle/2) no pair can be lost: one of two vectors on
-    different sides of a plane and within ``angle`` is within half of it of the plane. That bound
-    is kept where it is the smaller; otherwise the margin is the one beyond which ``tail`` standard
-    deviations of a random direction in that many dimensions are needed (about 3 in a million
-    pairs that lie exactly at the threshold, fewer of closer ones). ``tail=math.inf`` is exact.
+    within the margin sin(angle/2), with which no pair can be lost, whatever the data: one of two
+    vectors on different sides of a plane and within ``angle`` is within half of it of the plane.
+    With a finite ``tail`` the margin is at most the one beyond which ``tail`` standard deviations
+    of a random direction in that many dimensions are needed. That holds only for vectors which
+    differ evenly in all dimensions; others lose pairs, as those of low rank do.
 
     Cells are cut into blocks of about ``block`` vectors and each pair of blocks is one small
     group, so that a cell that holds a third of all rows is spread; a group returns counts and a
@@ -169,7 +169,7 @@ def near_vectors(
     k = max(1, min(max_cells, round(math.sqrt(n) / 2), len(drawn)))
     centroids = spherical_kmeans(_unit(drawn, kind), k) if drawn else np.ones((1, 1))
     angle = math.acos(threshold)
-    margin = min(math.sin(angle / 2), tail * math.sin(angle) / ((1 + threshold) * math.sqrt(dim)))
+    margin = 1e-9 + min(math.sin(angle / 2), tail * math.sin(angle) / ((1 + threshold) * math.sqrt(dim)))
 
     assigned = classes.select("node", "weight", "vec").mapInArrow(
         partial(_assign, kind=kind, centroids=centroids, margin=margin),
