@@ -44,6 +44,17 @@ def test_frequent_lines_leave_the_first_document(spark):
     assert {r.doc_id: r.text for r in quality.keep_good(docs, most=10).where("doc_id < 12").collect()} == {i: (body(i) if i else rows[0][1]) for i in range(12)}
 
 
+def test_frequent_lines_by_share_of_the_host(spark):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    sizes = {"few": 10, "small": 50, "large": 2400}
+    rows = [(1000 * 10**k + i, f"home page\n{body(i)}" if i < 15 else f"see below\n{body(i)}" if i < 135 else f"all rights\n{body(i)}" if i < 335 else body(i), host) for k, (host, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality.quality(docs).where("removed_words > 0").groupBy("source", "removed_words").count().collect()
+    lost = {(r.source, r["count"]) for r in found}
+    assert lost == {("small", 14 + 34), ("large", 199)}  # 15 of 2,400 are under the share, and so are 120
+    assert {r.source for r in quality.keep_good(docs).where("text LIKE 'home page%'").collect()} == {"few", "small", "large"}
+
+
 def without_later_windows(texts, width=3):
     seen, out = set(), []
     for text in texts:

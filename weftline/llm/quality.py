@@ -55,31 +55,35 @@ def _normal_lines(text_col: str) -> Column:
     return F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " "), "\n")
 
 
-def frequent_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 100) -> DataFrame:
+def frequent_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 10, share: float = 0.05) -> DataFrame:
     """``(host, digest, removed_words, removed)``: texts that lose lines, by host and text digest.
 
-    A line, normalised and hashed, that stands in over ``most`` different texts of one host is
-    removed from all of them but the first, that of the smallest id (all copies of that text keep
-    it). Exact copies of a text are one document here, so that a text is never lost because it
-    was copied often. ``removed`` holds the places of lines, from 0 and sorted.
+    A line, normalised and hashed, that stands in over ``most`` different texts of one host and in
+    over ``share`` of its different texts is removed from all of them but the first, that of the
+    smallest id (all copies of that text keep it). Exact copies of a text are one document here,
+    so that a text is never lost because it was copied often. A host of ``most`` texts or fewer
+    loses no line. ``removed`` holds the places of lines, from 0 and sorted.
     """
     lines = F.filter(F.transform(_normal_lines(text_col), lambda line, i: F.struct(i.alias("at"), F.trim(line).alias("line"))), lambda x: x["line"] != "")
     lines = F.transform(lines, lambda x: F.struct(x["at"], F.xxhash64(x["line"]).alias("h"), (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "))) + 1).alias("words")))
     texts = documents.select(_host(host_col).alias("host"), F.xxhash64(text_col).alias("digest"), F.col(id_col).alias("id"), lines.alias("lines"))
     texts = checkpointed(texts.groupBy("host", "digest").agg(F.min("id").alias("id"), F.first("lines").alias("lines")))
     each = texts.select("host", "id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    frequent = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > most).select("host", "h", "first")
+    frequent = each.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where(F.col("n") > most)
     frequent = checkpointed(frequent)  # AQE splits no join with an aggregate in it
-    hit = texts.select("host", "digest", "id", F.inline("lines")).join(frequent, ["host", "h"]).where(~F.col("id").eqNullSafe(F.col("first")))
+    if share > 0:
+        hosts = checkpointed(texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > most))
+        frequent = checkpointed(frequent.join(sized(hosts, 50_000), "host").where(F.col("n") > share * F.col("texts")).select("host", "h", "first"))
+    hit = texts.select("host", "digest", "id", F.inline("lines")).join(frequent.select("host", "h", "first"), ["host", "h"]).where(~F.col("id").eqNullSafe(F.col("first")))
     return hit.groupBy("host", "digest").agg(F.sum("words").cast("long").alias("removed_words"), F.sort_array(F.collect_list("at")).alias("removed"))
 
 
 _NEW = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed", "kept")
 
 
-def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, most: int, least_words: int, least_share: float) -> DataFrame:
+def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, most: int, share: float, least_words: int, least_share: float) -> DataFrame:
     """Whole rows of ``documents`` beside the columns of ``_NEW``."""
-    lost = checkpointed(frequent_lines(documents, id_col, text_col, host_col, most)).withColumnsRenamed({"host": "__host", "digest": "__digest", "removed_words": "__removed_words", "removed": "__removed"})
+    lost = checkpointed(frequent_lines(documents, id_col, text_col, host_col, most, share)).withColumnsRenamed({"host": "__host", "digest": "__digest", "removed_words": "__removed_words", "removed": "__removed"})
     rows = documents.select(whole_row(documents), _host(host_col).alias("__host"), F.xxhash64(text_col).alias("__digest"))
     counted = base_counts(rows, f"__row.{text_col}")
     left = F.col("n_words") - F.col("__removed_words")
@@ -89,7 +93,7 @@ def _judged(documents: DataFrame, id_col: str, text_col: str, host_col: str, mos
     )
 
 
-def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 100, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
+def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 10, share: float = 0.05, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
     """``documents`` with the base counts, ``base_failed``, ``removed_words``, ``removed`` and ``kept``.
 
     A document fails if its base counts do, or if it is depleted: some of its lines are removed
@@ -98,13 +102,13 @@ def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alike in host and text get the same verdict; each row stays a row. An empty table gives an
     empty result. Own columns named like new ones are replaced, other extra columns kept.
     """
-    judged = _judged(documents, id_col, text_col, host_col, most, least_words, least_share)
+    judged = _judged(documents, id_col, text_col, host_col, most, share, least_words, least_share)
     return judged.select(*own_columns([c for c in documents.columns if c not in _NEW]), *_NEW)
 
 
-def keep_good(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 100, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
+def keep_good(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most: int = 10, share: float = 0.05, least_words: int = 20, least_share: float = 0.3) -> DataFrame:
     """The columns of ``documents``: those that are kept, without the lines removed from them."""
-    judged = _judged(documents, id_col, text_col, host_col, most, least_words, least_share)
+    judged = _judged(documents, id_col, text_col, host_col, most, share, least_words, least_share)
     # as a generator's output, since a filter on the verdict itself would be pushed through all
     # columns that it comes from, with each step's expression copied into the next one's
     left = judged.select("__row", "removed", F.explode(F.array("kept")).alias("kept")).where("kept")
@@ -114,7 +118,7 @@ def keep_good(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = quality(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), most=100, share=0)  # as its SQL says
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
