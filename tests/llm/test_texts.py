@@ -112,6 +112,17 @@ def test_secret_edges():
     assert novel("bearer " * 3000 + "x9" * 20_000) == []  # repeats add next to nothing
 
 
+def test_secrets_within_reach_on_both_sides():
+    own, long = "q7Rk2ZxW9vTn4LpYs8Bd3HcJ", "mZ4cT8yQ1wLf6KsXb9NvP3gRj7DhU2eAo5iVtG0xCqY4nW8kS6zB"
+    novel = lambda text: [text[s:e] for s, e, _ in secrets.novel_spans(text, [])]
+    for gap in (1, 32, 33, 40, 47, 48):
+        assert novel(f"password{' ' * gap}{own}") == novel(f"{own}{' ' * gap}password") == [own]
+        assert novel(f"password{' ' * gap}{long}") == novel(f"{long}{' ' * gap}password") == [long]
+    
+    assert novel(f"password{' ' * 49}{own}") == novel(f"{own}{' ' * 49}password") == []
+    assert novel(f"{own}password {own[::-1]} token") == [own, own[::-1]]  # each once
+
+
 def test_odd_secrets_licenses_languages(spark, odd_documents, no_documents):
     n = odd_documents.count()
     assert secrets.secret_spans(odd_documents).count() == n and secrets.secret_spans(no_documents).count() == 0

@@ -22,7 +22,7 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: What makes a place sensitive; a candidate follows within ``near`` characters.
+#: What makes a place sensitive; a candidate follows or precedes it within ``near`` characters.
 _CONTEXT = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|apikey|auth(?:orization)?|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?id|signature|session[_ -]?id|connection[_ -]?string|sas[_ -]?key|encryption[_ -]?key", re.IGNORECASE)
 _DIGIT = re.compile("[0-9]")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -80,25 +80,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], near: int = 48, around: int = 200, least: float = 0.72) -> list[tuple[int, int, str]]:
-    """Candidates after a sensitive word whose marginal compressed size is ``least`` or more of their own.
+    """Candidates near a sensitive word whose marginal compressed size is ``least`` or more of their own.
 
     A candidate is a run of 16 or more characters of base64 and identifiers that has a digit and
-    a letter and overlaps nothing in ``taken``.
+    a letter and overlaps nothing in ``taken``. At most ``near`` characters lie between it and the
+    word, which it follows or precedes; one that touches the word ends where the word begins.
     """
     if not _DIGIT.search(text):
         return []
     found, done = [], 0
     taken = sorted(taken)
     starts, ends = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max))
+
+    def judge(start: int, end: int) -> None:
+        own = text[start:end]
+        if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)) or ((i := bisect_left(starts, end)) and ends[i - 1] > start):
+            return
+        if _novelty().share(text[max(0, start - around) : start] + text[end : end + around], own) >= least:
+            found.append((start, end, "novel"))
+
     for context in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(context.end(), done), context.end() + near):
+        for m in _CANDIDATE.finditer(text, done, context.start()):
+            if m.end() >= context.start() - near:
+                judge(*m.span())
+        done = max(done, context.end())
+        for m in _CANDIDATE.finditer(text, done, context.end() + near + 16):  # the last to begin within reach has its first 16 there
             end = _CANDIDATE.match(text, m.start()).end()  # the whole run, where it passes the end of the reach
-            start, done = m.start(), end
-            own = text[start:end]
-            if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)) or ((i := bisect_left(starts, end)) and ends[i - 1] > start):
-                continue
-            if _novelty().share(text[max(0, start - around) : start] + text[end : end + around], own) >= least:
-                found.append((start, end, "novel"))
+            judge(m.start(), end)
+            done = end
     return found
 
 
