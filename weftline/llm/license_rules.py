@@ -180,12 +180,12 @@ php-3.01|90|php license|\bphp license(?: version)? 3 01\b
 php|65|php license|\bphp license\b
 ruby|70|ruby license|\bruby license\b
 ruby|80|same terms as ruby|\bsame terms as ruby\b
-postgresql|85|postgresql license|\bpostgresql licen[sc]e\b
+postgresql|85|postgresql licen|\bpostgresql licen[sc]e\b
 openssl|80|openssl license|\bopenssl license\b
 ssleay|80|ssleay license|\bssleay license\b
 ijg|85|independent jpeg group|\bwork of the independent jpeg group\b
 curl|70|curl license|\bcurl license\b
-unicode-dfs|85|unicode license agreement|\bunicode(?: inc)? license agreement\b
+unicode-dfs|85|license agreement|\bunicode(?: inc)? license agreement\b
 w3c|80|w3c software|\bw3c software (?:notice|and document notice) and license\b
 vim|80|vim license|\bvim license\b
 tcl|70|tcl tk license|\btcl tk license\b
