@@ -171,3 +171,11 @@ def test_odd_mixing(spark, odd_documents, no_documents):
     assert mixed.columns == odd_documents.columns and mixing.mixed_documents(no_documents).count() == 0
     total = sum(len(words(r.text)) for r in mixed.collect())
     assert total == found.agg(F.sum("taken")).first()[0]
+
+
+def test_pieces_that_are_alike_are_spread(spark):
+    docs = spark.range(2000).selectExpr("CAST(null AS LONG) AS doc_id", "CAST(null AS STRING) AS text")
+    found = packing.pack_pieces(packing.cut_pieces(docs), per_group=100)
+    sizes = [r["count"] for r in found.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 200
+    assert found.columns == ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]

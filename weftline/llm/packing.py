@@ -163,13 +163,14 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 2048,
 
     Pieces are dealt at random into groups of about ``per_group``, which are packed apart: the
     last windows of a group may stay open, a few thousandths of its tokens, and no group grows
-    with the input. All columns are kept, but for own ones of those two names. ``length`` must be
+    with the input, however alike its pieces are: a number fixed with the stored pieces deals them
+    too. All columns are kept, but for own ones of those two names. ``length`` must be
     from 1 to ``capacity``.
     """
-    pieces = checkpointed(pieces.drop("sequence_id", "offset"))
+    pieces = checkpointed(pieces.drop("sequence_id", "offset").withColumn("__salt", F.monotonically_increasing_id()))
     groups = max(1, -(-row_count(pieces) // per_group))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "start", "doc_tokens"), F.lit(groups)))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "start", "doc_tokens", "__salt"), F.lit(groups))).drop("__salt")
+    schema = T.StructType([*(f for f in pieces.schema.fields if f.name != "__salt"), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.groupBy("__group").applyInArrow(lambda key, table: _place(key, table, capacity), schema)
 
 
