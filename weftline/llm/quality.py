@@ -134,12 +134,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, source FROM documents),
  r AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM p) GROUP BY doc_id),
  l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
  dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
- nl AS (SELECT doc_id, source, text, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line
-   FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
- f AS (SELECT source, line, min(doc_id) AS first FROM nl WHERE line != '' GROUP BY source, line HAVING count(DISTINCT text) > 100),
- ft AS (SELECT DISTINCT f.source, f.line, d.text FROM f JOIN d ON d.doc_id = f.first),
- lost AS (SELECT doc_id, sum(len(string_split(nl.line, ' '))) AS n FROM nl JOIN f ON f.source IS NOT DISTINCT FROM nl.source AND f.line = nl.line
-   WHERE NOT EXISTS (SELECT 1 FROM ft WHERE ft.source IS NOT DISTINCT FROM nl.source AND ft.line = nl.line AND ft.text = nl.text) GROUP BY doc_id),
+ nl AS (SELECT doc_id, source, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line
+   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+ h AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+ f AS (SELECT nl.source, line, min(doc_id) AS first FROM nl JOIN h ON h.source IS NOT DISTINCT FROM nl.source WHERE line != ''
+   GROUP BY nl.source, line HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) > 0.05 * any_value(h.docs)),
+ lost AS (SELECT doc_id, sum(len(string_split(nl.line, ' '))) AS n FROM nl JOIN f ON f.source IS NOT DISTINCT FROM nl.source AND f.line = nl.line WHERE doc_id != f.first GROUP BY doc_id),
  b AS (SELECT w.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS removed_words
    FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN lost USING (doc_id)),
