@@ -251,3 +251,30 @@ def test_urls(spark):
     assert sorted(map(tuple, shuffled.collect()), key=repr) == found
     assert {r.verdict for r in urls.judge_urls(pages, urls.rule_table(spark).where("false")).collect()} == {"allow"}
     assert urls.judge_urls(pages.where("false"), urls.rule_table(spark)).count() == 0
+
+
+def test_frequent_lines_listed_by_host_or_joined(spark, sf, odd_documents):
+    """Both ways of taking lines from documents give the same rows."""
+    for docs in (read_table(spark, sf, "documents"), odd_documents, odd_documents.select("doc_id", "text", "source").unionAll(odd_documents.selectExpr("CAST(NULL AS LONG)", "text", "source"))):
+        columns = ("n_words", "removed_words", "removed", "kept")
+        found = [sorted((repr((r.doc_id, r.text, *(r[c] for c in columns))) for r in quality.quality(docs, most=2, share=0.01, most_listed=m).collect())) for m in (50_000, 0)]
+        assert found[0] == found[1]
+    assert quality.quality(odd_documents, keep_text=False).count() == odd_documents.count()
+
+
+def test_lines_without_ids_leave_one_text(spark):
+    body = " ".join(f"w{j}" for j in range(30))
+    docs = spark.createDataFrame([(None, f"menu home\n{body} {i}", None) for i in range(20)], "doc_id long, text string, source string")
+    for listed in (0, 50_000):
+        lost = quality.quality(docs, most_listed=listed).groupBy("removed_words").count().collect()
+        assert sorted(map(tuple, lost)) == [(0, 1), (2, 19)]
+
+
+def test_columns_that_differ_in_case_or_have_backticks(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 5, 6, "x")], "doc_id long, text string, source string, Kept int, `a``b` int, N_Removed string")
+    found = quality.quality(docs)
+    assert found.columns.count("kept") == 1 and "Kept" not in found.columns and found.where("kept").count() == 0 and found.first()["a`b"] == 6
+    assert quality.keep_good(docs).columns == docs.columns
+    assert linededup.drop_repeated_lines(docs).columns == ["doc_id", "text", "source", "Kept", "a`b", "n_removed"]
+    pages = spark.createDataFrame([(1, "http://a.com/", 2, 3)], "page_id int, url string, Host int, `a``b` int")
+    assert urls.judge_urls(pages, urls.rule_table(spark)).select("host", "`a``b`").first() == ("a.com", 3)

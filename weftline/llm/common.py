@@ -17,11 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the cluster's checkpoint folder, with its lineage cut."""
+    """``df``, computed once and kept in the cluster's checkpoint folder, with its lineage cut.
+
+    A session in one process may leave ``spark.checkpoint.dir`` unset and has a temporary folder;
+    on a cluster that is an error, since executors don't see each other's local folders.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -34,13 +40,24 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def whole_row(df: DataFrame):
     """All columns as one, so that no column of ``df`` can clash with one that an operator adds."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row")
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("__row")
 
 
 def own_columns(names: list[str]) -> list:
-    return [F.col(f"__row.`{c}`") for c in names]
+    return [F.col(f"__row.{quoted(c)}").alias(c) for c in names]
+
+
+def other_columns(df: DataFrame, new) -> list[str]:
+    """Names of ``df`` that no new column replaces; upper and lower case are one unless the session tells them apart."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    taken = set(new) if exact else {n.lower() for n in new}
+    return [c for c in df.columns if (c if exact else c.lower()) not in taken]
 
 
 def blank_trim(column):
