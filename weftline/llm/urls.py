@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import lower_ascii, own_columns, read_table, row_count, whole_row
+from weftline.llm.common import checkpointed, lower_ascii, other_columns, own_columns, read_table, row_count, whole_row
 
 #: Hex digits of the digest that the join uses.
 SHORT = 8
@@ -50,7 +50,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     rules = rules.select(F.coalesce("host", F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict")).where("rule_host != ''")
     shapes = rules.select(F.size(F.split("rule_host", r"\.")).alias("labels"), F.length("rule_path").alias("chars")).distinct().collect()
     host, path = host_and_path(F.col(url_col))
-    kept = own_columns([c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
+    kept = own_columns(other_columns(pages, ("host", "path", "rule", "verdict")))
     pages = pages.select(whole_row(pages), host.alias("host"), path.alias("path"))
     if not shapes:
         return pages.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
@@ -62,6 +62,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     own = F.split("host", r"\.")
     expanded = (
         pages.select("host", "path")
+        .where("host != ''")
         .distinct()
         .withColumn("suffixes", F.transform(F.filter(labels, lambda n: n <= F.size(own)), lambda n: F.array_join(F.slice(own, -n, n), ".")))
         .withColumn("prefixes", F.transform(F.filter(chars, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)))
@@ -71,13 +72,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .withColumn("short", F.substring("full", 1, SHORT))
     )
     best = F.max(F.struct(F.length("rule").alias("length"), F.length("rule_host").alias("host_length"), (F.col("rule_verdict") == "block").alias("blocks"), "rule", "rule_verdict")).alias("best")
-    judged = expanded.join(rules, "short").where("full = digest").groupBy("host", "path").agg(best)
-    return pages.join(judged, ["host", "path"], "left").select(
-        *kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
-    )
+    # kept, since AQE splits no join with an aggregate in it, and a front page may be most of a host
+    judged = checkpointed(expanded.join(rules, "short").where("full = digest").groupBy("host", "path").agg(best))
+    # rows without a host meet no rule: they stay where they are
+    found = pages.where("host != ''").join(judged, ["host", "path"], "left").unionByName(pages.where("host = ''").withColumn("best", F.lit(None).cast(judged.schema["best"].dataType)))
+    return found.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` judged by ``RULES``; odd rows as in ``judge_urls``."""
     return judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
