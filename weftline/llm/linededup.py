@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import blank_trim, checkpointed, read_table, sized, whole_row, without_lines
+from weftline.llm.common import blank_trim, checkpointed, other_columns, quoted, read_table, sized, whole_row, without_lines
 
 
 def _windows(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -23,8 +23,11 @@ def _windows(documents: DataFrame, id_col: str, text_col: str, width: int) -> Da
 
 
 def later_windows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(id, digest, gone)``: for each document with lines to remove, their places from 0, sorted."""
-    windows = _windows(documents, id_col, text_col, width)
+    """``(id, digest, gone)``: for each document with lines to remove, their places from 0, sorted.
+
+    Null texts and texts of fewer lines have no window; an empty table gives an empty result.
+    """
+    windows = checkpointed(_windows(documents, id_col, text_col, width))  # read twice: texts are hashed once
     place = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "a")
     first = windows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     first = checkpointed(first)  # AQE splits no join with an aggregate in it
@@ -49,14 +52,15 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
     gone = gone.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
     own = documents.select(whole_row(documents), F.col(id_col).alias("__own_id"), F.xxhash64(text_col).alias("__own"))
     joined = own.join(sized(gone, 50_000, "__gone"), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
-    cut = without_lines(joined.select("__row", "__gone", F.col(f"__row.{text_col}").alias("__text")), "__text", "__gone")
+    cut = without_lines(joined.select("__row", "__gone", F.col(f"__row.{quoted(text_col)}").alias("__text")), "__text", "__gone")
     return cut.select(
-        *(F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`") for c in documents.columns if c != "n_removed"),
+        *(F.col("__text").alias(c) if c == text_col else F.col(f"__row.{quoted(c)}").alias(c) for c in other_columns(documents, ["n_removed"])),
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without later windows; odd rows as in ``drop_repeated_lines``."""
     found = drop_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "text", "n_removed")
 

@@ -191,6 +191,7 @@ def keep_one_text(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` with fingerprint and component; odd rows as in ``near_texts``."""
     return near_texts(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
