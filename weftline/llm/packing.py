@@ -24,21 +24,8 @@ _PLAIN = "".join(
     if unicodedata.category(chr(c)) != "Cn" and (unicodedata.category(chr(c))[0] == "N") == chr(c).isdecimal() and not (chr(c).isspace() and c != 0x20)
 )
 _UNUSUAL = re.compile(f"[^\t\n\r{re.escape(_PLAIN)}]")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-
-
-class _Encoded(dict):
-    """Ids of pieces, as little-endian 32-bit integers; forgets all once it is full."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most = encode, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids = np.array(self.encode(piece), "<u4").tobytes()
-        return ids
+#: Blanks so long that the fast way's pattern would go back over them; such texts go the plain way.
+_LONG_BLANKS = re.compile(r"\s{5000}")
 
 
 @lru_cache(maxsize=2)
@@ -46,9 +33,8 @@ def encoder(name: str):
     """``text -> ids`` of the byte-level BPE ``name``.json, as little-endian 32-bit integers.
 
     The same ids as the tokenizer file gives with ``add_special_tokens=False``, found faster: texts
-    of usual characters are cut by an equal pattern and each distinct piece is encoded once with
-    the same vocabulary's ranks; others, and those with a special token's string, go to the
-    tokenizer itself.
+    of usual characters are cut by the same pattern and encoded with the same vocabulary's ranks;
+    others, and those with a special token's string, go to the tokenizer itself.
     """
     import public_tokenizers
     import tiktoken
@@ -59,12 +45,11 @@ def encoder(name: str):
         special = [t["content"] for t in json.load(file)["added_tokens"]]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(f"{name}.tiktoken"), "rb"))}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    cache = _Encoded(fast.encode_ordinary, 120_000)
 
     def encode(text: str) -> bytes:
-        if _UNUSUAL.search(text) or any(s in text for s in special):
+        if _UNUSUAL.search(text) or any(s in text for s in special) or _LONG_BLANKS.search(text):
             return np.array(slow().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, _PIECES.findall(text)))
+        return np.array(fast.encode_ordinary(text), "<u4").tobytes()
 
     return encode
 
@@ -175,12 +160,17 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 2048,
 
 
 def packed_digests(documents: DataFrame) -> DataFrame:
-    """Packed pieces of ``documents`` with a CRC-32 of their ids in place of the ids."""
+    """Packed pieces of ``documents`` with a CRC-32 of their ids in place of the ids.
+
+    Null and empty texts are one piece of one token; null and repeated ids, repeated rows, extra
+    columns and an empty table as in ``cut_pieces`` and ``pack_pieces``.
+    """
     pieces = cut_pieces(documents).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return pack_pieces(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``, packed; odd rows as in ``packed_digests``."""
     return packed_digests(read_table(spark, sf_dir, "documents"))
 
 
