@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import checkpointed, read_table
+from weftline.llm.common import checkpointed, read_table, sized
 from weftline.llm.components import components, spanning_labels
 
 
@@ -52,40 +52,65 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return centroids
 
 
-def _assign(batches: Iterator[pa.RecordBatch], kind: str, centroids: np.ndarray, margin: float) -> Iterator[pa.RecordBatch]:
-    """Each vector in its home cell and, as a guest, in each cell whose boundary is near.
+class Cells:
+    """Cells of one vector length: unit centroids, and how far from a boundary a vector is a guest beyond it.
 
-    Vectors with another number of dimensions than the centroids have cell -1 of their own length.
+    One of two linked vectors on different sides of a boundary lies within tan(angle/2) * |d| of
+    it, d being their unit difference along its normal; sin(angle/2) holds for any d. That d is taken
+    as spread like the sample about its centroids or evenly, whichever is wider along that normal,
+    and ``tail`` of its standard deviations are allowed for.
     """
-    dims = centroids.shape[1]
+
+    def __init__(self, x: np.ndarray, k: int, threshold: float, tail: float):
+        angle = math.acos(threshold)
+        self.most, self.per_deviation = math.sin(angle / 2) + 1e-9, tail * math.tan(angle / 2)
+        self.centroids = spherical_kmeans(x, k)
+        home = np.concatenate([np.argmax(part @ self.centroids.T, axis=1) for part in np.array_split(x, max(1, len(x) // 1024))])
+        rest = x - self.centroids[home]
+        spread = rest.T @ rest
+        total = np.trace(spread)
+        self.spread = spread / total if total > 1e-9 else np.eye(x.shape[1]) / x.shape[1]
+        self.turned = self.centroids @ self.spread
+        self.own = np.einsum("ij,ij->i", self.turned, self.centroids)
+        self.unit = (self.centroids**2).sum(axis=1)
+
+    def of(self, x: np.ndarray) -> list[list[int]]:
+        """For each unit vector its home cell, then those of which it is a guest."""
+        out = []
+        rows = max(16, (1 << 22) // len(self.centroids))
+        for part in (x[i : i + rows] for i in range(0, len(x), rows)):
+            near = part @ self.centroids.T
+            home = np.argmax(near, axis=1)
+            apart = np.maximum(self.unit[home][:, None] + self.unit - 2 * (self.centroids[home] @ self.centroids.T), 1e-12)
+            along = (self.own[home][:, None] + self.own - 2 * (self.turned[home] @ self.centroids.T)) / apart
+            margin = np.minimum(self.most, self.per_deviation * np.sqrt(np.maximum(along, 1 / x.shape[1])))
+            beside = near[np.arange(len(part)), home][:, None] - near <= margin * np.sqrt(apart)
+            beside[np.arange(len(part)), home] = False
+            out += [[int(h), *map(int, np.flatnonzero(row))] for h, row in zip(home, beside, strict=True)]
+        return out
+
+
+def _assign(batches: Iterator[pa.RecordBatch], kind: str, cells: dict[int, Cells]) -> Iterator[pa.RecordBatch]:
+    """Adds each vector's length and its cells, home first; lengths without ``cells`` are one cell."""
     for whole in batches:
         for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-            node, weight, vec = (batch.column(i) for i in range(3))
-            raw = vec.to_pylist()
-            size = np.array([len(v) for v in raw]) // np.dtype(kind).itemsize
-            cells: list[list[int]] = [[-1] for _ in raw]
-            if len(own := np.flatnonzero(size == dims)):
-                x = _unit([raw[i] for i in own], kind)
-                near = x @ centroids.T
-                home = np.argmax(near, axis=1)
-                apart = np.sqrt(np.maximum(2 - 2 * (centroids[home] @ centroids.T), 1e-12))
-                beside = (near[np.arange(len(own)), home][:, None] - near) / apart <= margin
-                for i, h, row in zip(own, home, beside, strict=True):
-                    cells[i] = [int(h), *(int(c) for c in np.flatnonzero(row) if c != h)]
-            take = np.repeat(np.arange(len(raw)), [len(c) for c in cells])
-            lists = pa.array(cells, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(size[take].astype(np.int32)),
-                    pa.array([c for x in cells for c in x], pa.int32()),
-                    pa.array([i == 0 for x in cells for i in range(len(x))]),
-                    lists.take(pa.array(take)),
-                    node.take(pa.array(take)),
-                    weight.take(pa.array(take)),
-                    vec.take(pa.array(take)),
-                ],
-                ["dim", "cell", "home", "cells", "node", "weight", "vec"],
-            )
+            raw = batch.column(2).to_pylist()
+            size = np.array([len(v) for v in raw], np.int64) // np.dtype(kind).itemsize
+            found: list[list[int]] = [[0]] * len(raw)
+            for dim in set(size.tolist()) & set(cells):
+                own = np.flatnonzero(size == dim)
+                for i, some in zip(own, cells[dim].of(_unit([raw[i] for i in own], kind)), strict=True):
+                    found[i] = some
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size.astype(np.int32)), pa.array(found, pa.list_(pa.int32()))], ["node", "weight", "vec", "dim", "cells"])
+
+
+def _near(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of rows of ``x``) of the two sides at ``threshold`` or above: products in single precision pick, double ones decide."""
+    small = x.astype(np.float32)
+    a, b = np.nonzero(small[left] @ small[right].T >= threshold - 4e-7 * (x.shape[1] + 4))
+    a, b = left[a], right[b]
+    sure = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 8192]], x[b[i : i + 8192]]) >= threshold for i in range(0, len(a), 8192)] or [np.array([], bool)])
+    return a[sure], b[sure]
 
 
 def _compare(key: tuple, table: pa.Table, kind: str, threshold: float) -> pa.Table:
@@ -93,25 +118,21 @@ def _compare(key: tuple, table: pa.Table, kind: str, threshold: float) -> pa.Tab
     _, cell, between, low, high = (k.as_py() for k in key)
     home, block = table["home"].to_numpy(), table["block"].to_numpy()
     if between:
-        left, right = np.flatnonzero(home), np.flatnonzero(~home)
+        left, right = np.flatnonzero(home == cell), np.flatnonzero(home != cell)
     else:
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
     empty = pa.table({"node": pa.array([], pa.string()), "links": pa.array([], pa.int64()), "parent": pa.array([], pa.string())})
     if not len(left) or not len(right):
         return empty
     x = _unit(table["vec"].combine_chunks(), kind)
-    near = x[left] @ x[right].T >= threshold
+    a, b = _near(x, left, right, threshold)
     if not between and low == high:
-        near = np.triu(near, 1)
-    a, b = np.nonzero(near)
-    a, b = left[a], right[b]
+        a, b = a[a < b], b[a < b]
     if between and len(a):  # of two cells that both hold the pair, only the one with the smaller number counts it
-        cells = table["cells"].combine_chunks()
-        flat = cells.flatten().to_numpy()
-        of = flat[np.cumsum(sizes := cells.value_lengths().to_numpy()) - sizes]
-        held = np.zeros((len(x), int(flat.max()) + 2), bool)
-        held[np.repeat(np.arange(len(x)), sizes), flat + 1] = True
-        once = ~((of[b] < cell) & held[a, of[b] + 1])
+        guests = table["guests"].combine_chunks()
+        sizes = guests.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.repeat(np.arange(len(x)), sizes) << 32 | guests.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        once = ~((home[b] < cell) & np.isin(a << 32 | home[b], held))
         a, b = a[once], b[once]
     if not len(a):
         return empty
@@ -123,30 +144,47 @@ def _compare(key: tuple, table: pa.Table, kind: str, threshold: float) -> pa.Tab
     return pa.table({"node": node.take(pa.array(linked)), "links": pa.array(links[linked].astype(np.int64)), "parent": node.take(pa.array(label[linked]))})
 
 
+def fit_cells(classes: DataFrame, kind: str, threshold: float, tail: float, block: int, per_cell: int, least_sample: int, max_cells: int, max_lengths: int) -> dict[int, Cells]:
+    """Cells for each of the commonest ``max_lengths`` lengths that has over ``block`` vectors."""
+    width = np.dtype(kind).itemsize
+    sizes = classes.groupBy(F.octet_length("vec").alias("bytes")).count().where(F.col("count") > block).orderBy(F.desc("count"), "bytes").limit(max_lengths).collect()
+    wanted = {r["bytes"] // width: min(max_cells, round(math.sqrt(r["count"]) / 2)) for r in sizes}
+    if not wanted:
+        return {}
+    drawn = F.lit(False)
+    for r in sizes:
+        share = max(least_sample, per_cell * wanted[r["bytes"] // width]) / r["count"]
+        drawn = drawn | (F.octet_length("vec") == r["bytes"]) & (F.lit(share >= 1) | (F.col("node") < format(min(int(share * 2**32), 2**32 - 1), "08x")))
+    sample = classes.where(drawn).select("node", "vec").toArrow().sort_by("node")["vec"].to_pylist()
+    own = {dim: [v for v in sample if len(v) == dim * width] for dim in wanted}
+    return {dim: Cells(_unit(own[dim], kind), min(k, len(own[dim])), threshold, tail) for dim, k in wanted.items() if own[dim]}
+
+
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.9,
-    max_cells: int = 4096,
-    sample: int = 32768,
+    max_cells: int = 65536,
+    sample: int = 16384,
+    per_cell: int = 8,
     block: int = 512,
-    tail: float = math.inf,
+    guest_block: int = 8192,
+    tail: float = 4.5,
+    max_lengths: int = 64,
 ) -> DataFrame:
     """``(<id_col>, n_links, component_id, kept)``, one row per row of ``vectors``.
 
     Vectors with the same components are one class. The distinct ones go to the cells of a
-    spherical k-means, fitted on at most ``sample`` of them (in expectation); sqrt(n)/2 cells,
-    ``max_cells`` at most. A vector also goes, as a guest, to each cell whose bounding plane is
-    within the margin sin(angle/2), with which no pair can be lost, whatever the data: one of two
-    vectors on different sides of a plane and within ``angle`` is within half of it of the plane.
-    With a finite ``tail`` the margin is at most the one beyond which ``tail`` standard deviations
-    of a random direction in that many dimensions are needed. That holds only for vectors which
-    differ evenly in all dimensions; others lose pairs, as those of low rank do.
-
-    Cells are cut into blocks of about ``block`` vectors and each pair of blocks is one small
-    group, so that a cell that holds a third of all rows is spread; a group returns counts and a
-    spanning forest, never its pairs.
+    spherical k-means: sqrt(n)/2 cells for each vector length, ``max_cells`` at most, fitted on
+    ``per_cell`` vectors a cell and ``sample`` at least (in expectation). Every vector is indexed. A
+    vector also goes, as a guest, to each cell whose boundary is near (``Cells``). With an infinite
+    ``tail`` no pair can be lost, whatever the data, at several times as many guests. Lengths
+    beyond the commonest ``max_lengths``, and those with no more than ``block`` vectors, are one cell each.
+
+    Cells are cut into blocks of about ``block`` vectors, their guests into ``guest_block``, and each
+    pair of blocks is one small group, so that a cell that holds a third of all rows is spread; a
+    group returns counts and a spanning forest, never its pairs.
 
     Null, empty and zero vectors, and those with null or non-finite components, link with
     nothing. Vectors of different lengths do not link. A null id is never a component's name if
@@ -161,35 +199,25 @@ def near_vectors(
     classes = keyed.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.min("vec").alias("vec"), F.min("id").alias("first_id"))
     classes = checkpointed(classes)
 
-    dims = classes.groupBy((F.octet_length("vec") / np.dtype(kind).itemsize).cast("int").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim, n = (dims["dim"], dims["count"]) if dims else (1, 0)
-    share = min(1.0, sample / max(n, 1))
-    drawn = classes.where(F.octet_length("vec") == dim * np.dtype(kind).itemsize).where(F.lit(share >= 1) | (F.col("node") < format(min(int(share * 2**32), 2**32 - 1), "08x")))
-    drawn = [bytes(r["vec"]) for r in drawn.select("node", "vec").orderBy("node").collect()]
-    k = max(1, min(max_cells, round(math.sqrt(n) / 2), len(drawn)))
-    centroids = spherical_kmeans(_unit(drawn, kind), k) if drawn else np.ones((1, 1))
-    angle = math.acos(threshold)
-    margin = 1e-9 + min(math.sin(angle / 2), tail * math.sin(angle) / ((1 + threshold) * math.sqrt(dim)))
-
-    assigned = classes.select("node", "weight", "vec").mapInArrow(
-        partial(_assign, kind=kind, centroids=centroids, margin=margin),
-        "dim int, cell int, home boolean, cells array<int>, node string, weight long, vec binary",
-    )
+    cells = fit_cells(classes, kind, threshold, tail, block, per_cell, sample, max_cells, max_lengths)
+    assigned = classes.select("node", "weight", "vec").mapInArrow(partial(_assign, kind=kind, cells=cells), "node string, weight long, vec binary, dim int, cells array<int>")
     assigned = checkpointed(assigned)
-    blocks = assigned.groupBy("dim", "cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / block).alias("homes"), F.ceil(F.sum((~F.col("home")).cast("int")) / block).alias("guests")
+    blocks = assigned.select("dim", F.posexplode("cells").alias("nth", "cell")).groupBy("dim", "cell").agg(
+        F.ceil(F.sum((F.col("nth") == 0).cast("int")) / block).alias("homes"), F.ceil(F.sum((F.col("nth") > 0).cast("int")) / guest_block).alias("guest_blocks")
+    )
+    blocks = sized(checkpointed(blocks.where("homes > 0")), 1_000_000)  # 24 bytes a cell, of which there are at most max_cells for each fitted length
+    placed = assigned.select("dim", "node", "weight", "vec", "cells", F.posexplode("cells").alias("nth", "cell")).join(blocks, ["dim", "cell"])
+    at_home = F.col("nth") == 0
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(at_home, F.col("homes")).otherwise(F.col("guest_blocks")))).withColumn(
+        "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1 + F.when(at_home, F.col("guest_blocks")).otherwise(0)))
     )
-    dealt = assigned.join(blocks, ["dim", "cell"]).where("homes > 0")
-    own = F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests")))
-    dealt = dealt.withColumn("block", own).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1 + F.when(F.col("home"), F.col("guests")).otherwise(0))))
-    across = ~F.col("home") | (F.col("t") >= F.col("homes"))
-    dealt = dealt.withColumns(
-        {
-            "between": across,
-            "low": F.when(~F.col("home"), F.col("t")).when(across, F.col("block")).otherwise(F.least("block", "t")),
-            "high": F.when(~F.col("home"), F.col("block")).when(across, F.col("t") - F.col("homes")).otherwise(F.greatest("block", "t")),
-        }
-    ).drop("homes", "guests", "t")
+    across = ~at_home | (F.col("t") >= F.col("homes"))
+    dealt = dealt.select(
+        "dim", "cell", across.alias("between"),
+        F.when(~at_home, F.col("t")).when(across, F.col("block")).otherwise(F.least("block", "t")).alias("low"),
+        F.when(~at_home, F.col("block")).when(across, F.col("t") - F.col("homes")).otherwise(F.greatest("block", "t")).alias("high"),
+        F.col("cells")[0].alias("home"), F.when(at_home & across, F.slice("cells", F.lit(2), F.size("cells"))).alias("guests"), "block", "node", "weight", "vec",
+    )
     found = dealt.groupBy("dim", "cell", "between", "low", "high").applyInArrow(lambda key, table: _compare(key, table, kind, threshold), "node string, links long, parent string")
     found = checkpointed(found)
 
@@ -208,6 +236,7 @@ def near_vectors(
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``embeddings``; odd vectors as in ``near_vectors``."""
     return near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
