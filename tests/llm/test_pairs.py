@@ -134,3 +134,24 @@ def test_odd_texts(spark, odd_documents, no_documents):
 def test_long_text_is_read_whole():
     text = " ".join(f"w{i}" for i in range(200_000))
     assert fingerprint(text.encode()) == fingerprint(text.encode()) != fingerprint(text[: len(text) // 2].encode())
+
+
+def test_pivots_select_what_is_verified(spark, monkeypatch):
+    """In a bucket of unrelated fingerprints nearly all pairs go before they are verified; without pivots all are verified."""
+    from weftline.llm import simhash
+
+    rng = np.random.default_rng(8)
+    shared = (1 << 39) - 1 << 25  # three whole bands
+    values = {int(x) & ~shared & (1 << 64) - 1 for x in rng.integers(0, 1 << 63, 900)}
+    values |= {v ^ 5 for v in list(values)[:30]}
+    signed = np.array(sorted(values), np.uint64).view(np.int64)
+    prints = spark.createDataFrame([(int(v),) for v in signed], "fp long")
+    found = simhash.selection(prints, block=100).first()
+    n = len(values)
+    assert found.pairs >= n * (n - 1) // 2 and found.listed < 0.7 * found.pairs and found.left < 0.02 * found.pairs and found.links >= 30
+    expected = {r.fp: r.root for r in fingerprint_groups(prints).collect()}
+    monkeypatch.setattr(simhash, "PIVOTS", np.array([], np.uint64))
+    without = simhash.selection(prints, block=2000).first()
+    assert without.left == without.listed == without.pairs
+    assert {r.fp: r.root for r in fingerprint_groups(prints).collect()} == expected  # they discard no link
+    assert simhash.selection(prints.where("false")).first().pairs == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,9 @@ from weftline.llm.common import checkpointed, own_columns, read_table, whole_row
 from weftline.llm.components import components, spanning_labels
 
 #: Reference fingerprints, the same in every task.
-PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(16)], np.uint64)
-#: From this many members on a group is sorted by its first pivot distance.
-LARGE = 48
+PIVOTS = np.array([xxhash.xxh64_intdigest(b"pivot %d" % i) for i in range(64)], np.uint64)
+#: Pairs that are looked at together.
+_PAIRS = 1 << 21
 
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
@@ -47,8 +48,13 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "digest", "fp"])
 
 
-def close_pairs(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (a[i], b[i]) those within ``bits``.
+def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """A row of Hamming distances to the pivots for each fingerprint."""
+    return np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int16).reshape(len(fp), len(pivots))
+
+
+def close_pairs(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of the pairs (a[i], b[i]) those within ``bits``, and how many the pivots left to verify.
 
     A pair's distance is at least the difference of its distances to any pivot, so pairs whose
     largest difference is over ``bits`` go; what is left is verified.
@@ -57,50 +63,63 @@ def close_pairs(fp: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray,
         near = np.abs(table[a, pivot] - table[b, pivot]) <= bits
         a, b = a[near], b[near]
     near = np.bitwise_count(fp[a] ^ fp[b]) <= bits
-    return a[near], b[near]
+    return a[near], b[near], len(a)
+
+
+class Selection(NamedTuple):
+    """Pairs within the buckets, those within reach at the first pivot, those that no pivot discards, and links."""
+
+    pairs: int
+    listed: int
+    left: int
+    links: int
 
 
-def _within_groups(rows: dict[str, np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of rows that are sorted by group; whole groups only."""
+def _within_groups(rows: dict[str, np.ndarray], bits: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, Selection]:
+    """Links of rows that are sorted by group; whole groups only.
+
+    Members of a group are sorted by their distance to the first pivot, and only those within
+    ``bits`` of each other there are listed as pairs; the other pivots then discard.
+    """
     n = len(rows["fp"])
     fp = rows["fp"].view(np.uint64)
-    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    table = pivot_table(fp, pivots)
     first = np.ones(n, bool)
     first[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("band", "key", "low", "high")], axis=0)
     group = np.cumsum(first) - 1
-    begins = np.flatnonzero(first)
-    sizes = np.diff([*begins, n])
-    pairs = lambda a, b: close_pairs(fp, table, *(x[(rows["block"][a] != rows["block"][b]) | (rows["low"][a] == rows["high"][a])] for x in (a, b)), bits)
+    distance = table[:, 0].astype(np.int64) if len(pivots) else np.zeros(n, np.int64)
+    place = group * 256 + distance  # distances and bits stay under 256, so no reach goes into the next group
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    count = np.searchsorted(place, place + bits, side="right") - np.arange(n) - 1
+    sizes = np.bincount(group)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    small = np.flatnonzero(sizes[group] < LARGE)
-    for step in range(1, min(LARGE, int(sizes.max()))):
-        if step >= len(small):
-            break
-        a, b = small[:-step], small[step:]
-        same = group[a] == group[b]
-        if not same.any():
-            break
-        found.append(pairs(a[same], b[same]))
-    for k in np.flatnonzero(sizes >= LARGE):
-        order = begins[k] + np.argsort(table[begins[k] : begins[k] + sizes[k], 0], kind="stable")
-        near = table[order, 0].astype(np.int64)
-        until = np.searchsorted(near, near + bits, side="right")
-        for i in range(0, len(order), 128):
-            own = np.arange(i, min(i + 128, len(order)))
-            count = until[own] - own - 1
-            a = np.repeat(own, count)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
-            found.append(pairs(order[a], order[b]))
-    return tuple(np.concatenate([p[i] for p in found]) if found else np.array([], np.int64) for i in (0, 1))
-
-
-def _links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(src, dst) of a spanning forest of each group; groups follow one another over the batches."""
+    left, begin, upto = 0, 0, np.cumsum(count)
+    while begin < n:
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + _PAIRS, side="right")))
+        own = count[begin:end]
+        a = np.repeat(np.arange(begin, end), own)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
+        a, b = order[a], order[b]
+        # blocks of one bucket meet in a group of their own, where only pairs across them count
+        across = (rows["block"][a] != rows["block"][b]) | (rows["low"][a] == rows["high"][a])
+        a, b, some = close_pairs(fp, table, a[across], b[across], bits)
+        found.append((a, b))
+        left += some
+        begin = end
+    a, b = (np.concatenate([p[i] for p in found]) if found else np.array([], np.int64) for i in (0, 1))
+    return a, b, Selection(int((sizes * (sizes - 1) // 2).sum()), int(count.sum()), left, len(a))
+
+
+def _links(batches: Iterator[pa.RecordBatch], bits: int, pivots: np.ndarray, counted: bool) -> Iterator[pa.RecordBatch]:
+    """(src, dst) of a spanning forest of each group, or the groups' ``Selection``; groups follow one another over the batches."""
     names = ("band", "key", "low", "high", "block", "fp")
     kept: dict[str, np.ndarray] = {c: np.array([], np.int64) for c in names}
 
     def forest(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        a, b = _within_groups(rows, bits)
+        a, b, selection = _within_groups(rows, bits, pivots)
+        if counted:
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in selection], list(Selection._fields))
         label = spanning_labels(len(rows["fp"]), a, b)
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(rows["fp"][linked]), pa.array(rows["fp"][label[linked]])], ["src", "dst"])
@@ -125,16 +144,8 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return plain.mapInArrow(partial(_fingerprints, width=width), schema)
 
 
-def fingerprint_groups(prints: DataFrame, bits: int = 3, bands: int = 5, block: int = 1024) -> DataFrame:
-    """``(fp, root)`` for each fingerprint of ``prints(fp)`` that links with another one.
-
-    Pivot distances alone can't be a join key: those of unrelated fingerprints lie so close
-    together that a cell of any pivot grid and its neighbours hold most rows. Candidates therefore
-    share all bits of ``bands - bits`` of ``bands`` bands, as every pair within ``bits`` does
-    (C(5,3) = 10 keys of 25 or 26 bits), and within a bucket the pivot tables discard pairs before
-    the rest are verified. Buckets over ``block`` fingerprints are cut into blocks and each pair of
-    blocks is a group of its own; groups return spanning forests, never their pairs.
-    """
+def _dealt(prints: DataFrame, bits: int, bands: int, block: int) -> DataFrame:
+    """Fingerprints of ``prints(fp)`` by bucket and pair of blocks, those of one group one after another."""
     widths = [64 // bands + (i < 64 % bands) for i in range(bands)]
     masks = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
     keys = [sum(chosen) for chosen in combinations(masks, bands - bits)]
@@ -151,10 +162,31 @@ def fingerprint_groups(prints: DataFrame, bits: int = 3, bands: int = 5, block:
         .select("band", "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp")
     )
     group = ("band", "key", "low", "high")
-    links = dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(partial(_links, bits=bits), "src long, dst long")
+    return dealt.repartition(*group).sortWithinPartitions(*group)
+
+
+def fingerprint_groups(prints: DataFrame, bits: int = 3, bands: int = 5, block: int = 1024) -> DataFrame:
+    """``(fp, root)`` for each fingerprint of ``prints(fp)`` that links with another one.
+
+    Distances of unrelated fingerprints to a pivot lie so close together that cells of them are no
+    key to shuffle by. Fingerprints are therefore dealt into buckets that share all bits of
+    ``bands - bits`` of ``bands`` bands, as every pair within ``bits`` does (C(5,3) = 10 keys of 25 or
+    26 bits). In a bucket the pivot tables select: members are sorted by their distance to the
+    first pivot, pairs are listed only within ``bits`` of each other there, the largest difference
+    over all pivots discards, and survivors are verified. Buckets over ``block`` fingerprints are cut
+    into blocks and each pair of blocks is a group of its own; groups return spanning forests,
+    never their pairs. An empty table gives an empty result; no fingerprint is null.
+    """
+    links = _dealt(prints, bits, bands, block).mapInArrow(partial(_links, bits=bits, pivots=PIVOTS, counted=False), "src long, dst long")
     return components(links).select(F.col("id").alias("fp"), F.col("component").alias("root"))
 
 
+def selection(prints: DataFrame, bits: int = 3, bands: int = 5, block: int = 1024) -> DataFrame:
+    """One row with what the pivots do: sums of ``Selection`` over all groups (pairs in several buckets count in each)."""
+    counts = _dealt(prints, bits, bands, block).mapInArrow(partial(_links, bits=bits, pivots=PIVOTS, counted=True), ", ".join(f"{c} long" for c in Selection._fields))
+    return counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in Selection._fields))
+
+
 def near_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = 3) -> DataFrame:
     """``(<id_col>, fingerprint, component_id, digest, rep_id, rep_digest)``, a row per document.
 
