@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -24,8 +22,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What makes a place sensitive; a candidate follows or precedes it within ``near`` characters.
 _CONTEXT = re.compile(r"pass(?:word|wd|phrase|code)|pwd|secret|token|api[_ -]?key|apikey|auth(?:orization)?|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?id|signature|session[_ -]?id|connection[_ -]?string|sas[_ -]?key|encryption[_ -]?key", re.IGNORECASE)
-_DIGIT = re.compile("[0-9]")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Where a candidate may lie, and in it whole runs of base64, identifiers and dotted tokens; "=" pads them at their end.
+_STRETCH = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:\.[A-Za-z0-9+/_-]+)*={0,2}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+_LEAST = 16
+#: Characters that the longest sensitive word may have.
+_WORD_ROOM = 24
 #: Names and words of code and configuration: what a string in a sensitive place often is when it is no secret.
 IDENTIFIERS = (
     "access_key access_token account_id accountName add_header admin administrator algorithm allow_origin api_key api_version apiVersion application/json application_name applicationProperties "
@@ -46,7 +49,7 @@ IDENTIFIERS = (
     "state static status storage store stream string struct subject submit subscription success suffix system table target template temporary tenant test test_password testPassword text thread timeout timestamp "
     "title token token_type tokenizer transaction transport true type undefined unauthorized unicode update upload uri url user user_id user_password username userPassword users utf-8 uuid validate validation "
     "valueFrom value variable vault verification version view virtual void warning web webhook website window worker workspace write xml yaml your_api_key_here your_password_here YOUR_API_KEY yourpassword "
-    "your-secret-key your_token_here 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx 0000000000000000 ---------------- ================"
+    "your-secret-key your_token_here _builder _cache _client _cluster _handler _loader _manager _model _node _of_ _for_ _to_ _with_ _limit _worker v1 v2 v3 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ xxxxxxxxxxxxxxxx 0000000000000000 ---------------- ================"
 )
 
 
@@ -58,14 +61,21 @@ class Novelty:
         self.packer = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def share(self, around: str, candidate: str) -> float:
-        """Marginal compressed bytes per byte of the candidate; ``around`` is what stands next to it."""
-        before, own = around.encode(errors="replace"), candidate.encode()
-        return (len(self.packer.compress(before + b"\n" + own)) - len(self.packer.compress(before + b"\n"))) / len(own)
+        """Marginal compressed bytes per byte of the candidate; ``around`` is what stands next to it.
 
+        The less of the text as it is and in lower case, so that names of several words count as
+        those words, however they are joined.
+        """
+        found = []
+        for before, own in ((around, candidate), (around.lower(), candidate.lower())):
+            before, own = before.encode(errors="replace") + b"\n", own.encode()
+            found.append((len(self.packer.compress(before + own)) - len(self.packer.compress(before))) / len(own))
+        return min(found)
 
-@lru_cache(maxsize=1)
-def _novelty() -> Novelty:
-    return Novelty()
+
+@lru_cache(maxsize=4)
+def _novelty(words: str) -> Novelty:
+    return Novelty(words)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -79,65 +89,78 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, str]], near: int = 48, around: int = 200, least: float = 0.72) -> list[tuple[int, int, str]]:
-    """Candidates near a sensitive word whose marginal compressed size is ``least`` or more of their own.
+def candidates(text: str, near: int) -> list[tuple[int, int]]:
+    """(start, end) of runs of 16 or more characters, with a digit and a letter, in a sensitive place.
 
-    A candidate is a run of 16 or more characters of base64 and identifiers that has a digit and
-    a letter and overlaps nothing in ``taken``. At most ``near`` characters lie between it and the
-    word, which it follows or precedes; one that touches the word ends where the word begins.
+    A place is sensitive if at most ``near`` characters lie between it and a sensitive word, before
+    or after. A word within a run cuts it: what stands before the word is a run, and so is what
+    follows it after a sign (``token_x9...``). Where letters or digits follow at once, the word is
+    the start of a longer name (``tokenizer_...``) or has the secret stuck to it, and the run from
+    the word on is one candidate. Runs are whole otherwise, however long they are.
     """
-    if not _DIGIT.search(text):
-        return []
-    found, done = [], 0
-    taken = sorted(taken)
-    starts, ends = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max))
-
-    def judge(start: int, end: int) -> None:
-        own = text[start:end]
-        if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)) or ((i := bisect_left(starts, end)) and ends[i - 1] > start):
-            return
-        if _novelty().share(text[max(0, start - around) : start] + text[end : end + around], own) >= least:
-            found.append((start, end, "novel"))
-
-    for context in _CONTEXT.finditer(text):
-        for m in _CANDIDATE.finditer(text, done, context.start()):
-            if m.end() >= context.start() - near:
-                judge(*m.span())
-        done = max(done, context.end())
-        for m in _CANDIDATE.finditer(text, done, context.end() + near + 16):  # the last to begin within reach has its first 16 there
-            end = _CANDIDATE.match(text, m.start()).end()  # the whole run, where it passes the end of the reach
-            judge(m.start(), end)
-            done = end
+    found = []
+    for stretch in _STRETCH.finditer(text):
+        if not _DIGIT.search(text, *stretch.span()):
+            continue
+        for run in _RUN.finditer(text, *stretch.span()):
+            start, end = run.span()
+            if end - start < _LEAST:
+                continue
+            words = [m.span() for m in _CONTEXT.finditer(text, max(0, start - near - _WORD_ROOM), end + near + _WORD_ROOM)]
+            parts, cut = [], start
+            for first, last in words:
+                if last <= start or first >= end:
+                    continue
+                if first > cut:
+                    parts.append((cut, first))
+                glued = last < end and text[last].isalnum()
+                cut = max(cut, first if glued else last + (last < end and text[last] in "_-./+"))
+            parts.append((cut, end))
+            for s, e in parts:
+                near_word = any(last >= s - near and first <= e + near for first, last in words)
+                if e - s >= _LEAST and near_word and _DIGIT.search(text, s, e) and _LETTER.search(text, s, e):
+                    found.append((s, e))
     return found
 
 
-def _scan(batches: Iterator[pa.RecordBatch], near: int, around: int, least: float) -> Iterator[pa.RecordBatch]:
+def novel_spans(text: str, near: int = 48, around: int = 200, least: float = 0.72, identifiers: str = IDENTIFIERS) -> list[tuple[int, int, str]]:
+    """Candidates whose marginal compressed size is ``least`` or more of their own.
+
+    Each candidate is measured after ``around`` characters on either side of it and the dictionary
+    of ``identifiers``, whether or not a fixed pattern has found it too.
+    """
+    measure = _novelty(identifiers)
+    return [(s, e, "novel") for s, e in candidates(text, near) if measure.share(text[max(0, s - around) : s] + text[e : e + around], text[s:e]) >= least]
+
+
+def _scan(batches: Iterator[pa.RecordBatch], near: int, around: int, least: float, identifiers: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
             spans = []
             for text in batch.column(1):
                 text = text.as_py() or ""
-                base = base_spans(text)
-                spans.append([{"kind": k, "start": s, "end": e} for s, e, k in sorted(base + novel_spans(text, base, near, around, least), key=lambda s: (s[0], KINDS.index(s[2])))])
+                own = base_spans(text) + novel_spans(text, near, around, least, identifiers)
+                spans.append([{"kind": k, "start": s, "end": e} for s, e, k in sorted(own, key=lambda s: (s[0], KINDS.index(s[2])))])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], ["id", "spans"])
 
 
-def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 48, around: int = 200, least: float = 0.72) -> DataFrame:
+def secret_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 48, around: int = 200, least: float = 0.72, identifiers: str = IDENTIFIERS) -> DataFrame:
     """``(<id_col>, spans)``: a row per document, its spans (kind, start, end) by start, then kind.
 
     Places count code points; ends are exclusive. The kinds assign, access and hex are fixed
-    patterns, novel is what the compressor finds beside them. A text is read whole and each row
-    alone, so no row depends on others. A null text is an empty one and has no spans; null and
+    patterns, novel is what the compressor finds, in their matches too; ``identifiers`` is its
+    dictionary, which a corpus may have of its own. A text is read whole and each row alone. A null text is an empty one and has no spans; null and
     repeated ids are passed on; extra columns are left out; an empty table gives an empty result.
     """
     plain = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([T.StructField("id", plain.schema["id"].dataType), T.StructField("spans", T.ArrayType(span))])
-    return plain.mapInArrow(partial(_scan, near=near, around=around, least=least), schema).withColumnRenamed("id", id_col)
+    return plain.mapInArrow(partial(_scan, near=near, around=around, least=least, identifiers=identifiers), schema).withColumnRenamed("id", id_col)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all ``documents``; odd rows as in ``secret_spans``."""
     found = secret_spans(read_table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
