@@ -113,13 +113,30 @@ def test_permutations():
     assert mixing.permuted(np.arange(1000), 1000, 1).tolist() != mixing.permuted(np.arange(1000), 1000, 2).tolist()
 
 
+def water_fill(sizes, weights, total, most):
+    """Targets that share ``total`` by weight; none above ``most`` times its size, the excess shared anew."""
+    limits = most * sizes
+    targets, free = np.zeros(len(sizes)), np.ones(len(sizes), bool)
+    left = float(total)
+    while free.any():
+        share = left * weights / weights[free].sum()
+        over = free & (share > limits)
+        if not over.any():
+            targets[free] = share[free]
+            break
+        targets[over] = limits[over]
+        left -= float(limits[over].sum())
+        free &= ~over
+    return targets
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=9))
 def test_targets(spark, sizes):
     names = [f"s{i}" for i in range(len(sizes) - 1)] + [None]
     table = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long")
     found = {r.source: r.target for r in mixing.source_targets(table).collect()}
-    expected = mixing.water_fill(np.array(sizes, float), np.array([mixing.WEIGHTS[i % 3] for i in range(len(sizes))], float), 1.5 * sum(sizes), 2.0)
+    expected = water_fill(np.array(sizes, float), np.array([mixing.WEIGHTS[i % 3] for i in range(len(sizes))], float), 1.5 * sum(sizes), 2.0)
     assert np.allclose([found[n] for n in names], expected)
     assert abs(sum(found.values()) - 1.5 * sum(sizes)) < 1e-6
 
@@ -152,6 +169,59 @@ def test_shards_are_multinomial(spark):
     assert taken.groupBy("key", "digest", "copy", "epoch", "start").count().where("count > 1").count() == 0
 
 
+def test_shard_counts_are_seeded_draws():
+    slots = np.array([700, 0, 250, 50], np.int64)
+    drawn = list(mixing.shard_counts(slots, 64, 5, 0, 16))
+    assert [s for s, _, _ in drawn] == list(range(16)) and all(c.sum() == (64 if s < 15 else 1000 - 15 * 64) for s, c, _ in drawn)
+    assert np.array_equal(sum(c for _, c, _ in drawn), slots)
+    before = np.zeros(4, np.int64)
+    for _, c, start in drawn:
+        assert np.array_equal(start, before)
+        before = before + c
+    for low in (0, 5, 11):  # any task comes to the same counts
+        assert all(x[0] == y[0] and np.array_equal(x[1], y[1]) and np.array_equal(x[2], y[2]) for x, y in zip(mixing.shard_counts(slots, 64, 5, low, low + 5), drawn[low : low + 5], strict=True))
+    # over many seeds a shard's counts spread as a draw of 64 without return does
+    first = np.array([next(iter(mixing.shard_counts(slots, 64, seed, 3, 4)))[1] for seed in range(2000)])
+    p = slots / slots.sum()
+    assert np.allclose(first.mean(axis=0), 64 * p, atol=0.4) and np.allclose(first.var(axis=0), 64 * p * (1 - p) * (1000 - 64) / 999, rtol=0.15, atol=0.01)
+
+
+def test_large_splits_by_the_normal_limit(monkeypatch):
+    slots = np.array([70_000, 0, 25_000, 5_000], np.int64)
+    exact = np.array([mixing._drawn_half(slots, 50_000, np.random.default_rng(i)) for i in range(800)])
+    monkeypatch.setattr(mixing, "_EXACT", 0)
+    near = np.array([mixing._drawn_half(slots, 50_000, np.random.default_rng(i)) for i in range(800)])
+    assert (near.sum(axis=1) == 50_000).all() and (near <= slots).all() and (near >= 0).all()
+    assert np.allclose(near.mean(axis=0), exact.mean(axis=0), rtol=0.005) and np.allclose(near.var(axis=0), exact.var(axis=0), rtol=0.25)
+    small = [mixing._drawn_half(np.array([3, 1, 0, 2]), 5, np.random.default_rng(i)) for i in range(50)]
+    assert all(s.sum() == 5 and (s <= [3, 1, 0, 2]).all() for s in small)
+
+
+def test_slots_have_the_shards_and_sources_counts(spark):
+    rows = [(11, 40, 60), (-7, 25, 25), (5, 30, 7), (9, 3, 0)]
+    sources = spark.createDataFrame(rows, "source_key long, blocks long, slots long")
+    for most_sources in (10, 2):  # counts drawn by shard, and shards drawn by slot
+        found = mixing.slot_table(sources, 16, 3, most_sources).collect()
+        assert len(found) == len({(r.source_key, r.slot) for r in found}) == 92
+        for key, blocks, slots in rows:
+            own = sorted((r.slot, r.epoch, r.block) for r in found if r.source_key == key)
+            assert [s for s, _, _ in own] == list(range(slots)) and len({(e, b) for _, e, b in own}) == slots and all(0 <= b < blocks for _, _, b in own)
+    by_shard = defaultdict(int)
+    for r in mixing.slot_table(sources, 16, 3).collect():
+        by_shard[r.shard] += 1
+    assert dict(by_shard) == {**dict.fromkeys(range(5), 16), 5: 12}
+    assert mixing.slot_table(sources.where("false"), 16, 3).count() == 0
+
+
+def test_very_many_copies(spark):
+    docs = spark.range(40_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "if(id < 39000, 'one two three', concat('w', id)) AS text", "'s' AS source", "0L AS n_chars")
+    found = mixing.taken_words(docs)
+    assert found.count() == 40_000 and found.where("taken > 2 * size").count() == 0
+    total = found.agg(F.sum("taken"), F.first("target")).first()
+    assert abs(total[0] - total[1]) < 0.02 * total[1]
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(docs).collect()) == total[0]
+
+
 def test_mixed_texts_are_what_was_taken(spark, sf):
     docs = read_table(spark, sf, "documents")
     taken = {r.doc_id: r.taken for r in mixing.op9_mixing(spark, sf).collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A break between words: the space and \t \n \v \f \r. ``bytes.split()`` splits at the same six.
@@ -75,6 +75,17 @@ def sized(small: DataFrame, rows: int, list_col: str | None = None, values: int
     return F.broadcast(small) if count <= rows and total <= values else small
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``__n``, its rows' places from 0 by ``order``; ranges are numbered in parallel, only their counts come together."""
+    ordered = df.select("*", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))).alias("__order"))
+    # kept, since both the counts and the numbers read it: ranges drawn twice could differ
+    ranged = checkpointed(ordered.repartitionByRange("__order").withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    base = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("__order"))
+    return ranged.join(F.broadcast(base), "__part").withColumn("__n", F.col("__base") + own - 1).drop("__part", "__base", "__order")
+
+
 def without_lines(df: DataFrame, text_col: str, gone_col: str) -> DataFrame:
     """``df`` with the lines at the places in ``gone_col`` (from 0, distinct; null: none) cut out of ``text_col``.
 
