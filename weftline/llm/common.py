@@ -60,6 +60,12 @@ def other_columns(df: DataFrame, new) -> list[str]:
     return [c for c in df.columns if (c if exact else c.lower()) not in taken]
 
 
+def recounted(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with the characters of its texts in ``n_chars``, if it has such a column in upper or lower case."""
+    name = next((c for c in df.columns if c.lower() == "n_chars"), None)
+    return df if name is None else df.withColumn(name, F.length(quoted(text_col)).cast(df.schema[name].dataType))
+
+
 def blank_trim(column):
     return F.btrim(column, F.lit(" \t\n\x0b\f\r"))
 

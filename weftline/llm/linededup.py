@@ -48,15 +48,29 @@ def drop_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col:
     with fewer lines stay as they are, and a text of which all is removed becomes empty; every row
     stays. An own column ``n_removed`` is replaced; other extra columns are kept.
     """
+    cut = _cut(documents, id_col, text_col, width)
+    return cut.select(
+        *_own(documents, text_col, other_columns(documents, ["n_removed"])),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
+    )
+
+
+def without_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """As ``drop_repeated_lines``, with the columns of ``documents`` and no other."""
+    return _cut(documents, id_col, text_col, width).select(*_own(documents, text_col, documents.columns))
+
+
+def _own(documents: DataFrame, text_col: str, names: list[str]) -> list:
+    return [F.col("__text").alias(c) if c == text_col else F.col(f"__row.{quoted(c)}").alias(c) for c in names]
+
+
+def _cut(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Whole rows, their texts without later windows, and the places of the lines cut."""
     gone = checkpointed(later_windows(documents, id_col, text_col, width))
     gone = gone.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
     own = documents.select(whole_row(documents), F.col(id_col).alias("__own_id"), F.xxhash64(text_col).alias("__own"))
     joined = own.join(sized(gone, 50_000, "__gone"), F.col("__own_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
-    cut = without_lines(joined.select("__row", "__gone", F.col(f"__row.{quoted(text_col)}").alias("__text")), "__text", "__gone")
-    return cut.select(
-        *(F.col("__text").alias(c) if c == text_col else F.col(f"__row.{quoted(c)}").alias(c) for c in other_columns(documents, ["n_removed"])),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-    )
+    return without_lines(joined.select("__row", "__gone", F.col(f"__row.{quoted(text_col)}").alias("__text")), "__text", "__gone")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

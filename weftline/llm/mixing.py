@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import NOT_BREAK, checkpointed, numbered, own_columns, quoted, read_table, sized, whole_row
+from weftline.llm.common import NOT_BREAK, checkpointed, numbered, own_columns, quoted, read_table, recounted, sized, whole_row
 
 WEIGHTS = (5, 2, 1)
 _WORD = re.compile(NOT_BREAK + "+")
@@ -283,8 +283,7 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     joined = own.dropDuplicates(["key", "digest"]).join(parts, ["key", "digest"])  # the same keys twice, so that texts move once
     joined = joined.select(*(c.alias(f"c{i}") for i, c in enumerate(own_columns(documents.columns))), "parts")
     at = documents.columns.index(text_col)
-    cut = joined.mapInArrow(partial(_cut_texts, text_at=at, parts_at=len(documents.columns)), documents.schema)
-    return cut.withColumn("n_chars", F.length(quoted(text_col)).cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else cut
+    return recounted(joined.mapInArrow(partial(_cut_texts, text_at=at, parts_at=len(documents.columns)), documents.schema), text_col)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
