@@ -92,7 +92,7 @@ def test_segments(spark):
     assert lsm.invalid_segment_ops(log).count() == 0
     empty = view.where("false")
     assert lsm.compaction_plan(empty).count() == 0 and lsm.next_idx(empty, spark.sql("SELECT 4 level")).first().next_idx == 0
-    assert fn.segment_id_text is not None and view.select(fn.segment_id_text().alias("t")).first().t == "0000000000-0000000000000000001"
+    assert view.select(fn.segment_id_text().alias("t")).first().t == "0000000000-0000000000000000001"
 
 
 def test_valid_prefix_stops_at_the_first_bad_record(spark):
@@ -139,6 +139,7 @@ def test_runs_prune_by_statistics(spark, tmp_path):
     both = storage.read_runs(spark, [(f"{tmp_path}/run", 0, 1), (f"{tmp_path}/run", 1, 0)])
     assert lsm.precedence(both).where("level = 0").count() == 90
     storage.append_log(all_events, f"{tmp_path}/log", segment_rows=20)
+    assert len(list((tmp_path / "log").glob("*.parquet"))) >= 5
     assert storage.read_log(spark, f"{tmp_path}/log").count() == 90 and storage.empty_events(spark).count() == 0
     storage.dump_text(all_events, f"{tmp_path}/dump")
     assert spark.read.text(f"{tmp_path}/dump").count() == 90

@@ -1,13 +1,16 @@
 import json
 import struct
+import threading
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.functions import codec, config, hashes
+from weftline.functions import codec, codecs, config, hashes
+from weftline.operators import blocks, read
 from weftline.sources import records, storage
-from weftline.store import INCOMING, EventStore, VersionMismatch
+from weftline.store import INCOMING, EventStore, StoreLocked, VersionMismatch
 
 
 def incoming(spark, *rows):
@@ -26,7 +29,9 @@ def test_appends_reads_flushes_and_compacts(spark, tmp_path):
     with pytest.raises(VersionMismatch):
         store.append_event("a", "t", "late", expected=1)
     assert store.status("a", 1) == 0 and store.status("a", 2) == -22
-    assert json.loads(store.read_json("a")) == [{"version": 0, "type": "t", "data": {"x": 1}}, {"version": 1, "type": "t", "data": "plain"}]
+    found = json.loads(store.read_json("a"))
+    assert all(abs(e.pop("timestamp") - time.time() * 1000) < 3_600_000 for e in found)  # in milliseconds
+    assert found == [{"version": 0, "type": "t", "data": {"x": 1}}, {"version": 1, "type": "t", "data": "plain"}]
     assert store.flush() == (0, 0) and store.memtable().count() == 0
     decided = store.append(incoming(spark, ("a", "2", 2), ("a", "no", 2), ("b", "0", -1), ("a", "3", 3), ("b", "no", 5)))
     assert sorted((r.stream, r.pos, r.ok, r.version) for r in decided.collect()) == [("a", 0, True, 2), ("a", 1, False, None), ("a", 3, True, 3), ("b", 2, True, 0), ("b", 4, False, None)]
@@ -114,3 +119,110 @@ def test_settings(spark, tmp_path, monkeypatch):
     spark.conf.set("store.block.size", "30")
     assert config.setting(spark, "store.block.size", kind=int, file=file) == 30 and config.setting(spark, "nothing", 1.5) == 1.5
     spark.conf.unset("store.block.size")
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    one, other = EventStore(spark, str(tmp_path)), EventStore(spark, str(tmp_path))
+    with one.locked():
+        assert one.append_event("a", "t", "0") == 0
+        for write in (lambda: other.append_event("a", "t", "1"), lambda: other.append(incoming(spark, ("a", "1", -1))), other.flush, other.compact):
+            with pytest.raises(StoreLocked):
+                write()
+    assert other.append_event("a", "t", "1") == 1
+    (tmp_path / "lock").touch()  # of a writer that died
+    with pytest.raises(StoreLocked):
+        one.append_event("a", "t", "2")
+    assert one.repair() == 0 and one.append_event("a", "t", "2") == 2
+
+
+def test_an_append_during_a_flush_is_kept(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path))
+    store.append_event("a", "t", "0")
+    write_run = store._write_run
+
+    def late(*args, **options):  # the lock is this object's, so the append gets in between listing and writing
+        store._write_run = write_run
+        store.append_event("a", "t", "1")
+        return write_run(*args, **options)
+
+    store._write_run = late
+    store.flush()
+    assert sorted(r.version for r in store.events().where("stream = 'a'").collect()) == [0, 1]
+    assert store.append_event("a", "t", "2") == 2 and [r.version for r in store.log().where("stream = 'a'").collect()] == [0, 1, 2]
+
+
+def test_a_crashed_append_is_not_read_and_written_over(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path))
+    store.append_event("a", "t", "0")
+    torn = tmp_path / "log" / "batch=1"
+    torn.mkdir()
+    (torn / "part-0.parquet").write_bytes(b"PAR1")
+    assert store.last_sequence() == 0 and store.version("a") == 0
+    assert store.append_event("a", "t", "1") == 1 and [r.data for r in store.log().collect()] == ["0", "1"]
+
+
+def test_flushes_compact_and_log_files_roll(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path), compact_at=2, segment_rows=2)
+    for i in range(3):
+        store.append(spark.createDataFrame([("a", 5 * i + k, "t", "d") for k in range(5)], "stream string, pos long, type string, data string").coalesce(1))
+        store.flush()
+    assert sorted((r.level, r.idx) for r in store.segments().collect()) == [(0, 2), (1, 0)]
+    assert store.version("a") == 14 and sorted(r.version for r in store.events().where("stream = 'a'").collect()) == list(range(15))
+    assert len(list((tmp_path / "log" / "batch=0").glob("*.parquet"))) >= 3
+    versions = store._versions(["a"])
+    assert any("/versions/" in f for f in versions.inputFiles()) and not any("/runs/" in f for f in versions.inputFiles())  # a small append scans no run
+    assert "EqualTo(stream,a)" in versions._jdf.queryExecution().toString()
+
+
+def test_single_appends_of_many_threads_are_batched(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path))
+    with store.writer(wait=0.5) as writer:
+        found = {}
+        threads = [threading.Thread(target=lambda n=n: found.update({n: [writer.append(f"s{n % 2}", "t", f"{n}-{i}") for i in range(20)]})) for n in range(4)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        stale = writer.append("s0", "t", "x", expected=3)
+    with pytest.raises(VersionMismatch):
+        stale.result()
+    with pytest.raises(ValueError):
+        writer.append("s0", "t", "late")
+    for stream in (0, 1):
+        assert sorted(f.result() for n, own in found.items() if n % 2 == stream for f in own) == list(range(40))
+    assert all([f.result() for f in own] == sorted(f.result() for f in own) for own in found.values())  # each thread's in its order
+    assert len(store._batches()) <= 4 and store.invalid_events().count() == 0
+
+
+def test_json_of_odd_events(spark):
+    from weftline.functions.events import event_json
+
+    rows = [('say "hi"\n\\', '{"a": "x\\"y", "b": [1, null]}'), ("t", 'plain "text"'), ("é", None), (None, "[]"), ("t", "12"), ("t", "")]
+    events = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate(rows)], "version int, type string, data string").withColumn("ts", F.timestamp_millis(F.lit(1234)))
+    found = [json.loads(r.j) for r in events.select("version", event_json().alias("j")).orderBy("version").collect()]
+    data = [{"a": 'x"y', "b": [1, None]}, 'plain "text"', None, [], 12, ""]
+    assert found == [{"version": i, "timestamp": 1234, "type": t, "data": d} for i, ((t, _), d) in enumerate(zip(rows, data, strict=True))]
+
+
+def test_codecs_and_stored_blocks(spark):
+    for name in codecs.NAMES:
+        for data in (b"", b"a", bytes(range(256)) * 50, b"x" * 100_000):
+            assert codecs.unpack(codecs.pack(data, name), name, len(data)) == data
+    assert len(codecs.pack(b"x" * 10_000, "LZ4")) < 200
+    with pytest.raises(ValueError):
+        codecs.compressed("GZ")
+    events = spark.sql("SELECT 's' stream, CAST(id AS INT) version, id sequence, timestamp_millis(id) ts, 't' type, repeat('d', CAST(id AS INT)) data, CAST(43 + id AS INT) rec_size FROM range(20)")
+    stored = blocks.stored_blocks(events, 200, "SNAPPY")
+    assert stored.where("NOT codec = 'SNAPPY'").count() == 0 and blocks.block_valid(stored).where("NOT valid").count() == 0
+    assert sorted((r.version, bytes(r.data)) for r in blocks.stored_events(stored).collect()) == [(i, b"d" * i) for i in range(20)]
+    torn = stored.withColumn("body", F.expr("substring(body, 1, octet_length(body) - 2)"))
+    assert blocks.block_valid(torn).where("valid").count() == 0 and blocks.stored_events(torn).count() == 0
+
+
+def test_key_scan_is_by_signed_key(spark):
+    events = spark.createDataFrame([("a", 1, 5), ("a", 0, 5), ("b", 0, -7), ("c", 0, 1 << 62)], "stream string, version int, h long")
+    assert [(r.stream, r.version) for r in read.key_scan(events, F.col("h")).collect()] == [("b", 0), ("a", 0), ("a", 1), ("c", 0)]
+
+
+def test_known_answers_of_hashes():
+    assert hashes.murmur3_64(b"", 0) == 0 and hashes.crc32c(b"") == 0 and hashes.crc32c(b"a") == 0xC1D04330 and hashes.crc32c(bytes(32)) == 0x8A9136AA

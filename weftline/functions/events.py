@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What a checksum starts from, as bytes before the body.
 CHECKSUM_SEED = bytes.fromhex("1B39B11B")
+#: Bytes of a block before its entries: two sizes, the stream's key, the start, the count, the checksum and the codec.
+BLOCK_HEADER_BYTES = 4 + 8 + 4 + 4 + 4 + 4 + 1
 
 
 def _column(value) -> Column:
@@ -33,29 +35,51 @@ def key_text(stream="stream", version="version") -> Column:
     return F.concat(_column(stream), F.lit("@"), _column(version).cast("string"))
 
 
-def render_event() -> Column:
-    fields = (("RECORD_SIZE", "rec_size"), ("STREAM", "stream"), ("VERSION", "version"), ("SEQUENCE", "sequence"), ("TYPE", "type"), ("DATA", "data"))
-    return F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), F.col(c).cast("string")) for name, c in fields))
+def _rendered(fields) -> Column:
+    return F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), F.coalesce(_column(value).cast("string"), F.lit("null"))) for name, value in fields))
+
+
+def render_event(stream_hash=None) -> Column:
+    """An event as text: all fields of its record, its time in milliseconds; a null field reads ``null``."""
+    key = F.xxhash64("stream") if stream_hash is None else _column(stream_hash)
+    return _rendered((
+        ("RECORD_SIZE", "rec_size"), ("CHECKSUM", checksum(event_body())), ("STREAM", "stream"), ("STREAM_HASH", key), ("VERSION", "version"), ("SEQUENCE", "sequence"),
+        ("TIMESTAMP", F.unix_millis(F.col("ts").cast("timestamp"))), ("TYPE", "type"), ("DATA", "data"),
+    ))
 
 
 def render_record(stream="stream") -> Column:
     """All fields of an event as text, its time in milliseconds; ``stream`` may be the name or the key of the stream."""
-    fields = (
-        ("RECORD_SIZE", F.col("rec_size")), ("TIMESTAMP", F.unix_millis(F.col("ts").cast("timestamp"))), ("STREAM", _column(stream)), ("VERSION", F.col("version")), ("SEQUENCE", F.col("sequence")),
-        ("TYPE_LENGTH", F.octet_length("type")), ("DATA_LENGTH", F.octet_length("data")), ("EVENT_TYPE", F.col("type")), ("DATA_STRING", F.col("data")),
-    )
-    return F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in fields))
+    return _rendered((
+        ("RECORD_SIZE", "rec_size"), ("CHECKSUM", checksum(event_body())), ("TIMESTAMP", F.unix_millis(F.col("ts").cast("timestamp"))), ("STREAM", stream), ("VERSION", "version"), ("SEQUENCE", "sequence"),
+        ("TYPE_LENGTH", F.octet_length("type")), ("DATA_LENGTH", F.octet_length("data")), ("EVENT_TYPE", "type"), ("DATA_STRING", "data"),
+    ))
+
+
+def render_block(stream_hash=None, codec: str = "NONE") -> Column:
+    """A block's header as text; its checksum is that of its events' sizes in order, its size that of header and entries."""
+    key = F.xxhash64("stream") if stream_hash is None else _column(stream_hash)
+    return _rendered((
+        ("STREAM", "stream"), ("START_VERSION", "start_version"), ("ENTRIES", "entries"), ("UNCOMPRESSED_SIZE", "bytes"), ("BLOCK_SIZE", F.col("bytes") + BLOCK_HEADER_BYTES), ("STREAM_HASH", key),
+        ("CHECKSUM", checksum(block_body())), ("CODEC", F.lit(codec)),
+    ))
 
 
-def render_block() -> Column:
-    fields = (("STREAM", "stream"), ("START_VERSION", "start_version"), ("ENTRIES", "entries"), ("UNCOMPRESSED_SIZE", "bytes"))
-    return F.concat_ws(", ", *(F.concat(F.lit(f"{name}="), F.col(c).cast("string")) for name, c in fields))
+def block_body(stream="stream", start_version="start_version", entries="entries", size="bytes") -> Column:
+    """The checksummed part of a block's header."""
+    return F.encode(F.concat_ws("\x1f", *(_column(c).cast("string") for c in (stream, start_version, entries, size))), "UTF-8")
 
 
 def event_json() -> Column:
-    """An event as the HTTP read returns it; the data stays the JSON text it is."""
-    text = lambda c: F.get_json_object(F.to_json(F.struct(F.col(c).alias("x"))), "$.x")
-    return F.concat(F.lit('{"version":'), F.col("version").cast("string"), F.lit(',"type":"'), text("type"), F.lit('","data":'), F.col("data"), F.lit("}"))
+    """An event as the HTTP read returns it: version, time in milliseconds, type and data.
+
+    Data that is JSON stays what it is, in Spark's normal form; other data is a text, no data null.
+    """
+    data = F.coalesce(F.to_json(F.try_parse_json("data")), F.to_json(F.to_variant_object(F.array("data"))))
+    plain = F.try_parse_json("data").isNull()
+    text = F.when(plain, F.regexp_extract(data, r"(?s)^\[(.*)\]$", 1)).otherwise(data)
+    head = F.to_json(F.struct("version", F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), "type"), {"ignoreNullFields": "false"})
+    return F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"data":'), F.when(F.col("data").isNull(), F.lit("null")).otherwise(text), F.lit("}"))
 
 
 def segment_id_text(level="level", idx="idx") -> Column:

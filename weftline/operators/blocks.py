@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.codec import decode_event, encode_event
+from weftline.functions.codecs import compressed, unpack
+from weftline.functions.events import CHECKSUM_SEED, checksum
 from weftline.operators.folds import blocks_within
 from weftline.schema import BLOCK_BYTES
+from weftline.sources.records import records
 
 
 def with_blocks(events: DataFrame, budget: int = BLOCK_BYTES) -> DataFrame:
@@ -44,7 +52,44 @@ def index_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("stream").agg(F.count(F.lit(1)).alias("sparse_entries"), F.sum("entries").cast("long").alias("dense_entries"))
 
 
-def block_valid(checksum_col: str, body_col: str):
-    from weftline.functions.events import checksum
+STORED = "stream string, start_version int, entries int, bytes long, codec string, checksum long, body binary"
+
+
+def stored_blocks(events: DataFrame, budget: int = BLOCK_BYTES, codec: str = "LZ4", stream_hash: Column | None = None) -> DataFrame:
+    """Blocks as they are kept: header, codec, checksum of the plain body, and the compressed records of their events."""
+    key = F.xxhash64("stream") if stream_hash is None else stream_hash
+    cut = with_blocks(events, budget).select("stream", "version", "start_version")
+    records = events.withColumn("stream_hash", key).select("stream", "version", encode_event().alias("record")).join(cut, ["stream", "version"])
+    body = F.aggregate(F.sort_array(F.collect_list(F.struct("version", "record"))), F.lit(b""), lambda whole, e: F.concat(whole, e["record"]))
+    blocks = records.groupBy("stream", "start_version").agg(F.count(F.lit(1)).cast("int").alias("entries"), body.alias("plain"))
+    return blocks.select("stream", "start_version", "entries", F.octet_length("plain").cast("long").alias("bytes"), F.lit(codec).alias("codec"), checksum("plain").alias("checksum"), compressed(codec)("plain").alias("body"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for stream, start, entries, size, codec, check, body in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            try:
+                plain = unpack(body, codec, size)
+                found = [plain[at : at + 4 + len(own)] for at, own in records(plain)]
+                good = zlib.crc32(CHECKSUM_SEED + plain) == check and len(found) == entries
+            except (ValueError, OSError, zlib.error, TypeError):  # bytes that the codec can't read, or a null
+                found, good = [], False
+            out.append((stream, start, good, found if good else []))
+        columns = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.binary())), strict=True)], ["stream", "start_version", "valid", "records"])
+
+
+def _opened(blocks: DataFrame) -> DataFrame:
+    names = [field.split()[0] for field in STORED.split(", ")]
+    return blocks.select(*names).mapInArrow(_unpacked, "stream string, start_version int, valid boolean, records array<binary>")
+
+
+def block_valid(blocks: DataFrame) -> DataFrame:
+    """(stream, start_version, valid): whether a stored block unpacks to its size, its checksum and its count of events."""
+    return _opened(blocks).select("stream", "start_version", "valid")
+
 
-    return F.col(checksum_col) == checksum(body_col)
+def stored_events(blocks: DataFrame) -> DataFrame:
+    """Events of stored blocks that are valid, with the fields of ``decode_event``."""
+    return _opened(blocks).where("valid").select("stream", "start_version", F.explode("records").alias("record")).select("stream", "start_version", decode_event("record").alias("event")).select("stream", "start_version", "event.*")

@@ -16,6 +16,12 @@ def log_scan(events: DataFrame, after: int | None = None) -> DataFrame:
     return (events if after is None else events.where(F.col("sequence") > after)).orderBy("sequence")
 
 
+def key_scan(events: DataFrame, stream_hash: Column | None = None) -> DataFrame:
+    """All events by the signed key of their stream, then by version: the order of a memtable's scan and of its index keys."""
+    key = F.xxhash64("stream") if stream_hash is None else stream_hash
+    return events.withColumn("stream_hash", key).orderBy("stream_hash", "version")
+
+
 def read_page(events: DataFrame, stream: str, from_version: int = 0, limit: int = PAGE) -> DataFrame:
     """Up to ``limit`` events of a stream in order, from a version on, that one included."""
     return events.where((F.col("stream") == stream) & (F.col("version") >= from_version)).orderBy("version").limit(limit)

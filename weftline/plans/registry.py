@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import codec
+from weftline.functions import codec, codecs
 from weftline.functions import events as fn
 from weftline.operators import append, blocks, lsm, ops, read, recover
+from weftline.plans.lineage import shared_folder
 from weftline.schema import read_events
 from weftline.store import EventStore
 
@@ -19,6 +20,16 @@ SQL: dict = {}
 EV = """ev AS (SELECT 'user-' || user_id AS stream, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS version,
   event_id AS sequence, ts, event_type AS type, props AS data,
   CAST(42 + octet_length(encode(event_type)) + octet_length(encode(props)) AS INTEGER) AS rec_size FROM events)"""
+
+
+def crc(text: str) -> str:
+    """SQL for the seeded CRC-32 of an ASCII text, a bit at a time."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    seed = ", ".join(f"CAST({b} AS BIGINT)" for b in fn.CHECKSUM_SEED)
+    return f"xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT), {seed}] || list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT)), lambda c, b: {step}))"
+
+
+_BODY = "concat_ws(chr(31), stream, version, sequence, type, data)"
 #: Bytes of a block in queries; the default holds most users' events in one.
 BUDGET = 512
 PACKED = f"""o AS (SELECT stream, version, rec_size FROM ev),
@@ -83,27 +94,45 @@ def read_status(spark, sf_dir):
     return read.read_status(read_events(spark, sf_dir), values(spark, "('user-3', 0), ('user-3', 100000), ('ghost', 0)", "stream, version"))
 
 
-_FOUND = {"equals": "max(k.version) FILTER (k.version = p.version)", "floor": "max(k.version) FILTER (k.version <= p.version)", "ceiling": "min(k.version) FILTER (k.version >= p.version)", "lower": "max(k.version) FILTER (k.version < p.version)", "higher": "min(k.version) FILTER (k.version > p.version)"}
+_CTES = f"{EV}, {PACKED}"
+#: Every event is sought, odd versions ten further on, among the first versions of all blocks.
+_SOUGHT = ", k AS (SELECT stream, start_version AS version FROM blocks), p AS (SELECT stream, CAST(version + CASE WHEN version % 2 = 1 THEN 10 ELSE 0 END AS INTEGER) AS version FROM ev)"
+_FOUND = {"equals": "LEFT JOIN k ON k.stream = p.stream AND p.version = k.version", **{how: f"ASOF LEFT JOIN k ON k.stream = p.stream AND p.version {sign} k.version" for how, sign in (("floor", ">="), ("ceiling", "<="), ("lower", ">"), ("higher", "<"))}}
+
+
+def _starts(ev: DataFrame) -> DataFrame:
+    return blocks.pack_blocks(ev, BUDGET).select("stream", F.col("start_version").alias("version"))
+
+
+def _sought(ev: DataFrame) -> DataFrame:
+    return ev.select("stream", F.expr("version + if(version % 2 = 1, 10, 0)").cast("int").alias("version"))
+
+
 for _how in read.LOOKUPS:
-    on_events(
-        f"lookup_{_how}",
-        f""", k AS (SELECT stream, version FROM ev WHERE version % 10 = 0),
- p AS (SELECT stream, CAST(version + CASE WHEN version % 2 = 1 THEN 10 ELSE 0 END AS INTEGER) AS version FROM ev WHERE version % 15 = 0)
- SELECT p.stream, p.version, {_FOUND[_how]} AS found FROM p LEFT JOIN k USING (stream) GROUP BY p.stream, p.version""",
-        lambda ev, how=_how: read.lookup(
-            ev.where("version % 10 = 0"), ev.where("version % 15 = 0").select("stream", F.expr("version + if(version % 2 = 1, 10, 0)").cast("int").alias("version")), how
-        ),
-    )
-on_events("membership", "SELECT stream, version FROM ev WHERE version % 15 = 0 AND version % 10 = 0", lambda ev: read.members(ev.where("version % 15 = 0").select("stream", "version"), ev.where("version % 10 = 0")))
+    on_events(f"lookup_{_how}", f"{_SOUGHT} SELECT p.stream, p.version, k.version AS found FROM p {_FOUND[_how]}", lambda ev, how=_how: read.lookup(_starts(ev), _sought(ev), how), _CTES)
+on_events("membership", f"{_SOUGHT} SELECT stream, version FROM p SEMI JOIN k USING (stream, version)", lambda ev: read.members(_sought(ev), _starts(ev)), _CTES)
 on_events("type_filter", "SELECT stream, version, type FROM ev WHERE type IN ('error', 'purchase')", lambda ev: read.of_types(ev, "error", "purchase").select("stream", "version", "type"))
 on_events("flush_events", "SELECT stream, version FROM ev WHERE stream = '_system' AND type = 'FLUSH' UNION ALL SELECT '_system', -1", lambda ev: read.flush_events(ev.select("stream", "version", "type").unionByName(ev.sparkSession.sql("SELECT '_system' stream, -1 version, 'FLUSH' type"))).select("stream", "version"))
 
 # projections
 on_events("event_fields", "SELECT stream, version, sequence, ts, rec_size, octet_length(encode(type)) AS type_length, octet_length(encode(data)) AS data_length FROM ev", lambda ev: ev.select("stream", "version", "sequence", "ts", "rec_size", F.octet_length("type").cast("long").alias("type_length"), F.octet_length("data").cast("long").alias("data_length")))
-on_events("event_render", "SELECT 'RECORD_SIZE=' || rec_size || ', STREAM=' || stream || ', VERSION=' || version || ', SEQUENCE=' || sequence || ', TYPE=' || type || ', DATA=' || data AS text FROM ev", lambda ev: ev.select(fn.render_event().alias("text")))
-on_events("record_render", "SELECT 'RECORD_SIZE=' || rec_size || ', TIMESTAMP=' || epoch_us(ts) // 1000 || ', STREAM=' || stream || ', VERSION=' || version || ', SEQUENCE=' || sequence || ', TYPE_LENGTH=' || octet_length(encode(type)) || ', DATA_LENGTH=' || octet_length(encode(data)) || ', EVENT_TYPE=' || type || ', DATA_STRING=' || data AS text FROM ev", lambda ev: ev.select(fn.render_record().alias("text")))
+_MILLIS = "epoch_us(ts) // 1000"
+on_events(
+    "event_render",
+    f"SELECT 'RECORD_SIZE=' || rec_size || ', CHECKSUM=' || {crc(_BODY)} || ', STREAM=' || stream || ', STREAM_HASH=' || {crc('stream')} || ', VERSION=' || version || ', SEQUENCE=' || sequence || ', TIMESTAMP=' || {_MILLIS} || ', TYPE=' || type || ', DATA=' || data AS text FROM ev",
+    lambda ev: ev.select(fn.render_event(fn.checksum(F.encode("stream", "UTF-8"))).alias("text")),  # a key that SQL has too
+)
+on_events(
+    "record_render",
+    f"SELECT 'RECORD_SIZE=' || rec_size || ', CHECKSUM=' || {crc(_BODY)} || ', TIMESTAMP=' || {_MILLIS} || ', STREAM=' || stream || ', VERSION=' || version || ', SEQUENCE=' || sequence || ', TYPE_LENGTH=' || octet_length(encode(type)) || ', DATA_LENGTH=' || octet_length(encode(data)) || ', EVENT_TYPE=' || type || ', DATA_STRING=' || data AS text FROM ev",
+    lambda ev: ev.select(fn.render_record().alias("text")),
+)
 on_events("key_text", "SELECT stream || '@' || version AS key FROM ev", lambda ev: ev.select(fn.key_text().alias("key")))
-on_events("http_read", """SELECT version, '{"version":' || version || ',"type":"' || type || '","data":' || data || '}' AS body FROM ev WHERE stream = 'user-3' AND version >= 0""", lambda ev: read.read_page(ev, "user-3").select("version", fn.event_json().alias("body")))
+on_events(
+    "http_read",
+    f"""SELECT version, '{{"version":' || version || ',"timestamp":' || {_MILLIS} || ',"type":' || to_json(type || ' "' || version || '" ') || ',"data":' || json(data) || '}}' AS body FROM ev WHERE stream = 'user-3' AND version >= 0""",
+    lambda ev: read.read_page(ev, "user-3").withColumn("type", F.concat("type", F.lit(' "'), F.col("version").cast("string"), F.lit('" '))).select("version", fn.event_json().alias("body")),
+)
 on_events("http_version", """SELECT stream, '{"version":' || max(version) || '}' AS body FROM ev GROUP BY stream""", lambda ev: read.stream_version(ev).select("stream", F.to_json(F.struct("version")).alias("body")))
 on_events("json_extract", "SELECT stream, version, json_extract_string(data, '$.k') AS value FROM ev", ops.json_extract)
 on_events("json_encode", """SELECT stream, version, '{"type":"' || type || '","version":' || version || '}' AS json FROM ev""", lambda ev: ops.json_encoded(ev, "type", "version"))
@@ -134,8 +163,8 @@ on_events("recover", "SELECT stream, version, sequence, type FROM ev WHERE seque
 _INCOMING = "SELECT stream, sequence AS pos, CAST(CASE sequence % 4 WHEN 0 THEN version WHEN 1 THEN version + 5 ELSE -1 END AS INTEGER) AS expected"
 on_events(
     "append_any",
-    ", c AS (SELECT stream, max(version) AS current FROM ev GROUP BY stream) SELECT stream, ev.sequence AS pos, CAST(c.current + row_number() OVER (PARTITION BY stream ORDER BY ev.sequence) AS INTEGER) AS version FROM ev JOIN c USING (stream) WHERE ev.type = 'click'",
-    lambda ev: append.append_any(ev, ev.where("type = 'click'").select("stream", F.col("sequence").alias("pos"))).select("stream", "pos", "version"),
+    ", c AS (SELECT stream, max(version) AS current FROM ev GROUP BY stream) SELECT stream, ev.sequence AS pos, CAST(c.current + row_number() OVER (PARTITION BY stream ORDER BY ev.sequence) AS INTEGER) AS version FROM ev JOIN c USING (stream)",
+    lambda ev: append.append_any(ev, ev.select("stream", F.col("sequence").alias("pos"))).select("stream", "pos", "version"),
 )
 on_events(
     "append_expected",
@@ -152,8 +181,21 @@ on_events("append_stamped", ", m AS (SELECT max(sequence) AS m FROM ev) SELECT s
 _CTES = f"{EV}, {PACKED}"
 on_events("block_pack", "SELECT stream, start_version, entries, bytes FROM blocks", lambda ev: blocks.pack_blocks(ev, BUDGET), _CTES)
 on_events("block_explode", "SELECT f.stream, f.start_version, f.version, ev.sequence, ev.type, ev.data, ev.rec_size FROM fold f JOIN ev USING (stream, version)", lambda ev: blocks.explode_blocks(blocks.block_bodies(ev, BUDGET)), _CTES)
-on_events("read_block", "SELECT * FROM blocks WHERE stream = 'user-3' AND start_version <= 25 AND 25 < start_version + entries", lambda ev: blocks.read_block(blocks.pack_blocks(ev.where("stream = 'user-3'"), BUDGET), "user-3", 25), _CTES)
-on_events("block_render", "SELECT 'STREAM=' || stream || ', START_VERSION=' || start_version || ', ENTRIES=' || entries || ', UNCOMPRESSED_SIZE=' || bytes AS text FROM blocks", lambda ev: blocks.pack_blocks(ev, BUDGET).select(fn.render_block().alias("text")), _CTES)
+on_events("read_block", "SELECT * FROM blocks WHERE stream = 'user-3' AND start_version <= 25 AND 25 < start_version + entries", lambda ev: blocks.read_block(blocks.pack_blocks(ev, BUDGET), "user-3", 25), _CTES)
+on_events(
+    "block_render",
+    f"SELECT 'STREAM=' || stream || ', START_VERSION=' || start_version || ', ENTRIES=' || entries || ', UNCOMPRESSED_SIZE=' || bytes || ', BLOCK_SIZE=' || bytes + 29 || ', STREAM_HASH=' || {crc('stream')} || ', CHECKSUM=' || {crc('concat_ws(chr(31), stream, start_version, entries, bytes)')} || ', CODEC=NONE' AS text FROM blocks",
+    lambda ev: blocks.pack_blocks(ev, BUDGET).select(fn.render_block(fn.checksum(F.encode("stream", "UTF-8"))).alias("text")),
+    _CTES,
+)
+on_events("block_valid", "SELECT stream, start_version, start_version % 3 <> 1 AS valid FROM blocks", lambda ev: blocks.block_valid(blocks.stored_blocks(ev, BUDGET).withColumn("checksum", F.when(F.col("start_version") % 3 == 1, F.col("checksum") + 1).otherwise(F.col("checksum")))), _CTES)
+on_events("stored_events", "SELECT f.stream, f.start_version, f.version, ev.sequence, ev.type, ev.data, ev.rec_size FROM fold f JOIN ev USING (stream, version)", lambda ev: blocks.stored_events(blocks.stored_blocks(ev, BUDGET, "ZLIB")).select("stream", "start_version", "version", "sequence", "type", F.col("data").cast("string").alias("data"), "rec_size"), _CTES)
+on_events(
+    "block_codecs",
+    f"SELECT stream, version, codec, octet_length(encode(data)) AS size, true AS same FROM ev, (VALUES {', '.join(f'({n!r})' for n in codecs.NAMES)}) t(codec)",
+    lambda ev: reduce(DataFrame.unionByName, (ev.select("stream", "version", F.lit(n).alias("codec"), F.octet_length("data").cast("long").alias("size"), (codecs.decompressed(n)(codecs.compressed(n)(F.encode("data", "UTF-8")), F.octet_length("data")) == F.encode("data", "UTF-8")).alias("same")) for n in codecs.NAMES)),
+)
+on_events("key_scan", f"SELECT stream, version, {crc('stream')} - 2147483648 AS stream_hash FROM ev", lambda ev: read.key_scan(ev, fn.checksum(F.encode("stream", "UTF-8")) - 2147483648).select("stream", "version", "stream_hash"))
 on_events("index_counts", "SELECT stream, count(*) AS sparse_entries, CAST(sum(entries) AS BIGINT) AS dense_entries FROM blocks GROUP BY stream", lambda ev: blocks.index_counts(blocks.pack_blocks(ev, BUDGET)), _CTES)
 on_events("dump_summary", "SELECT count(*) AS blocks, CAST(sum(entries) AS BIGINT) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes FROM blocks", lambda ev: ops.dump_summary(blocks.pack_blocks(ev, BUDGET)), _CTES)
 
@@ -208,15 +250,15 @@ on_events("batching", "SELECT stream, version, (row_number() OVER (PARTITION BY
 on_events("buffering", "SELECT stream, version FROM ev", lambda ev: ops.buffering(ev.select("stream", "version"), 64))
 on_events("peek", "SELECT stream, version, lead(version) OVER (PARTITION BY stream ORDER BY version) AS peek FROM ev", lambda ev: ops.peeking(ev.select("stream", "version")))
 on_events("concat", "SELECT stream, version, 0 AS part FROM ev WHERE type = 'error' UNION ALL SELECT stream, version, 1 FROM ev WHERE type = 'click'", lambda ev: ops.concat(*(ev.where(F.col("type") == t).select("stream", "version") for t in ("error", "click"))))
-on_events("round_robin", "SELECT stream, version, 0 AS part FROM ev WHERE version < 3 UNION ALL SELECT stream, version, 1 FROM ev WHERE version < 2", lambda ev: ops.round_robin(ev.where("version < 3").select("stream", "version"), ev.where("version < 2").select("stream", "version")))
-on_events("cycle", "SELECT stream, version, CAST(r AS INTEGER) AS round FROM ev, range(3) t(r) WHERE version < 5", lambda ev: ops.cycle(ev.where("version < 5").select("stream", "version"), 3))
+on_events("round_robin", "SELECT stream, version, 0 AS part FROM ev UNION ALL SELECT stream, version, 1 FROM ev", lambda ev: ops.round_robin(*[ev.select("stream", "version")] * 2))
+on_events("cycle", "SELECT stream, version, CAST(r AS INTEGER) AS round FROM ev, range(3) t(r)", lambda ev: ops.cycle(ev.select("stream", "version"), 3))
 on_events("gap_check", "SELECT stream, version, before FROM (SELECT stream, version, lag(version) OVER (PARTITION BY stream ORDER BY version) AS before FROM ev WHERE version % 7 <> 3) WHERE version - before > 1", lambda ev: ops.gap_check(ev.where("version % 7 <> 3")))
 on_events("renumber", "SELECT stream, sequence, CAST(row_number() OVER (PARTITION BY stream ORDER BY sequence) - 1 AS INTEGER) AS version FROM ev WHERE type <> 'view'", lambda ev: ops.renumbered(ev.where("type <> 'view'").select("stream", "sequence", "version")))
 on_events("table_stats", "SELECT count(*) AS entries, CAST(sum(rec_size) AS BIGINT) AS bytes, count(DISTINCT stream) AS streams FROM ev", ops.table_stats)
 on_events(
     "metrics_merge",
-    "SELECT name, CAST(sum(value) AS BIGINT) AS value FROM (SELECT type AS name, count(*) AS value FROM ev GROUP BY type UNION ALL SELECT type, sum(rec_size) FROM ev WHERE version = 0 GROUP BY type) GROUP BY name",
-    lambda ev: ops.metrics_merge(ev.groupBy(F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("value")), ev.where("version = 0").groupBy(F.col("type").alias("name")).agg(F.sum("rec_size").alias("value"))),
+    "SELECT name, CAST(sum(value) AS BIGINT) AS value FROM (SELECT type AS name, count(*) AS value FROM ev GROUP BY type UNION ALL SELECT type, sum(rec_size) FROM ev GROUP BY type) GROUP BY name",
+    lambda ev: ops.metrics_merge(ev.groupBy(F.col("type").alias("name")).agg(F.count(F.lit(1)).alias("value")), ev.groupBy(F.col("type").alias("name")).agg(F.sum("rec_size").alias("value"))),
 )
 on_events("metric_get", "SELECT CAST(0 AS BIGINT) AS value", lambda ev: ops.metric(ev.select(F.col("type").alias("name"), F.col("version").alias("value")), "missing"))
 on_events("stream_keys", None, lambda ev: _keys(ev))
@@ -241,10 +283,7 @@ on_events("bit_sets", "SELECT stream, version, CAST(version AS BIGINT) AS same,
 # streaming, run to the end of what is there
 def _shared(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if top is None:
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    return f"{top}/{name}-{spark.sparkContext.applicationId}-{next(_numbers)}"
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{next(_numbers)}"
 
 
 _numbers = iter(range(1 << 30))
