@@ -162,12 +162,13 @@ def slot_table(sources: DataFrame, per_shard: int, seed: int, most_sources: int
     if count > most_sources:
         run = 1 << 14
         runs = own.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(run).cast("long"))))
-        runs = runs.select("source_key", "blocks", "low", F.least(F.col("low") + run, "slots").alias("high")).repartition("source_key", "low")
+        runs = runs.select("source_key", "blocks", "low", F.least(F.col("low") + run, "slots").alias("high")).repartition(min(20_000, -(-total // run)), "source_key", "low")
         return runs.mapInArrow(partial(_scattered_slots, shards=shards, seed=seed), _SLOTS)
     table = own.orderBy("source_key").toArrow()
     keys, blocks, slots = (table[c].to_numpy().astype(np.int64) for c in ("source_key", "blocks", "slots"))
-    runs = spark.range(0, -(-total // per_shard), 16).select(F.col("id").alias("first"), (F.col("id") + 16).alias("last"))
-    return runs.repartition("first").mapInArrow(partial(_drawn_slots, keys=keys, blocks=blocks, slots=slots, per_shard=per_shard, seed=seed), _SLOTS)
+    # as many partitions as runs, since these few numbers become all slots
+    runs = spark.range(0, -(-total // per_shard), 16, numPartitions=max(1, min(20_000, -(-shards // 16)))).select(F.col("id").alias("first"), (F.col("id") + 16).alias("last"))
+    return runs.mapInArrow(partial(_drawn_slots, keys=keys, blocks=blocks, slots=slots, per_shard=per_shard, seed=seed), _SLOTS)
 
 
 #: What names a row: digests of its id and source and of its text, and a number among rows alike in these.
@@ -208,7 +209,7 @@ def mix(
     # copies are counted before they move and then dealt in runs, so no task gets all of very many
     alike = checkpointed(plain.groupBy("key", "digest", "id", "source_key", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
     run = 1 << 14
-    several = alike.where("copies > 1").withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(run).cast("long")))).repartition("key", "digest", "from")
+    several = alike.where("copies > 1").withColumn("from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(run).cast("long")))).repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "digest", "from")
     several = several.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + run - 1, "copies")))).drop("from")
     plain = alike.where("copies = 1").withColumn("copy", F.lit(1).cast("long")).unionByName(several).drop("copies")
     buckets = plain.where("size > 0").groupBy("source_key").agg(F.ceil(F.count(F.lit(1)) / per_bucket).alias("buckets"))
