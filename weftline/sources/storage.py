@@ -51,6 +51,9 @@ def empty_events(spark: SparkSession) -> DataFrame:
 
 
 def dump_text(events: DataFrame, path: str) -> None:
+    """Writes events as lines of text; those without a time have ``null`` there."""
+    if "ts" not in events.columns:
+        events = events.withColumn("ts", F.lit(None).cast("timestamp"))
     events.select(render_event().alias("value")).write.mode("overwrite").text(path)
 
 
