@@ -311,3 +311,25 @@ def test_recall_and_precision_on_planted_keys_and_names():
 def test_novel_spans_on_the_table(spark, sf):
     spans = [s for r in secrets.op5_secrets(spark, sf.replace("0.001", "0.01")).collect() for s in r.spans.split(",") if s]
     assert sum(s.startswith("novel:") for s in spans) >= 5  # the smallest tables hold none
+
+
+def test_no_version_that_the_text_does_not_state():
+    label = lambda text: licenses.scan(text.encode())["labels"]
+    names = {"Common Development and Distribution License": ("cddl", "1.0"), "Common Public License": ("cpl", "1.0"), "Educational Community License": ("ecl", "2.0"), "SIL Open Font License": ("ofl", "1.1"), "Boost Software License": ("bsl", "1.0"), "Apple Public Source License": ("apsl", "2.0"), "NASA Open Source Agreement": ("nasa", "1.3"), "Q Public License": ("qpl", "1.0"), "Business Source License": ("busl", "1.1")}
+    for name, (short, version) in names.items():
+        assert label(f"under the {name}.") == [short] and label(f"under the {name}, version {version}") == [f"{short}-{version}"]
+    assert label("Python Software Foundation License") == ["psf"] and label("Python Software Foundation License Version 2") == ["python-2.0"]
+    assert label("GNU Library General Public License") == ["gpl", "lgpl"] and label("GNU Library General Public License, version 2") == ["gpl", "lgpl-2.0"]
+
+
+def test_prefilter_loses_no_rule(spark, sf):
+    """The scan behind keywords finds what all rules find, on every text of the table and every string of a rule."""
+    from re import _parser
+
+    rules = licenses.Rules()
+    texts = [(r.text or "") for r in read_table(spark, sf, "documents").collect()]
+    texts = [b" ".join(t.encode().translate(licenses._WORDS).split()).decode(errors="replace") for t in texts] + [s for rule in rules.rules for s in expanded(_parser.parse(rule.pattern.pattern))]
+    for text in texts:
+        every = {licenses.Detection(r.label, r.priority, *m.span()) for r in rules.rules for m in r.pattern.finditer(text)}
+        lost = {d.label for d in every - set(rules.detections(text))}
+        assert lost <= {"isc"} and (not lost or "isc" in {d.label for d in rules.detections(text)})

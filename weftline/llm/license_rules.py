@@ -63,7 +63,8 @@ gpl|50|general public licence|\bgeneral public licence\b
 lgpl-2.1-or-later|95|lesser general public license|lesser general public license as published by the free software foundation either version 2 1 of the license or (?:at your option )?any later version
 lgpl-2.1|92|lesser general public license|\b(?:gnu )?lesser general public license version 2 1\b
 lgpl-3.0|92|lesser general public license|\b(?:gnu )?lesser general public license version 3\b
-lgpl-2.0|92|library general public license|\b(?:gnu )?library general public license(?: version 2)?\b
+lgpl-2.0|92|library general public license|\b(?:gnu )?library general public license (?:version |v)?2\b
+lgpl|70|library general public license|\b(?:gnu )?library general public license\b
 lgpl|70|lesser general public licen|\b(?:gnu )?lesser general public licen[sc]e\b
 lgpl-2.1|85|lgpl|\blgpl ?(?:v|version )? ?2 1\b
 lgpl-3.0|85|lgpl|\blgpl ?(?:v|version )? ?3(?: 0)?\b
@@ -87,10 +88,12 @@ epl-2.0|92|eclipse public license|\beclipse public license v? ?(?:version )?2 0\
 epl-1.0|92|eclipse public license|\beclipse public license v? ?(?:version )?1 0\b
 epl|65|eclipse public licen|\beclipse public licen[sc]e\b
 edl-1.0|90|eclipse distribution license|\beclipse distribution license\b
-cpl-1.0|90|common public license|\bcommon public license(?: version 1 0)?\b
+cpl-1.0|90|common public license|\bcommon public license (?:version |v)?1 0\b
+cpl|65|common public license|\bcommon public license\b
 ipl-1.0|90|ibm public license|\bibm public license\b
 cddl-1.1|92|common development and distribution license|\bcommon development and distribution license (?:version )?1 1\b
-cddl-1.0|90|common development and distribution license|\bcommon development and distribution license(?: (?:version )?1 0)?\b
+cddl-1.0|90|common development and distribution license|\bcommon development and distribution license (?:cddl )?(?:version |v)?1 0\b
+cddl|65|common development and distribution license|\bcommon development and distribution license\b
 cddl|60|cddl|\bcddl\b
 cpal-1.0|90|common public attribution license|\bcommon public attribution license\b
 artistic-2.0|92|artistic license|\bartistic license 2 0\b
@@ -101,7 +104,8 @@ zlib|92|this software is provided as is|this software is provided as is without
 zlib|80|zlib license|\bzlib license\b
 zlib|85|zlib libpng license|\bzlib libpng license\b
 libpng|80|libpng license|\blibpng license\b
-bsl-1.0|92|boost software license|\bboost software license(?: version 1 0)?\b
+bsl-1.0|92|boost software license|\bboost software license (?:version |v)?1 0\b
+bsl|65|boost software license|\bboost software license\b
 bsl-1.0|85|boost org license|\bboost org license 1 0\b
 unlicense|92|free and unencumbered software|this is free and unencumbered software released into the public domain
 unlicense|80|the unlicense|\bthe unlicense\b
@@ -150,13 +154,16 @@ cc-by-2.0|76|cc by 2 0|\bcc by 2 0\b
 creative-commons|45|creative commons|\bcreative commons(?: attribution)?(?: licen[sc]e)?\b
 odbl-1.0|90|open database license|\bopen database license\b
 odc-by-1.0|90|open data commons attribution license|\bopen data commons attribution license\b
-cdla-permissive-1.0|90|community data license agreement permissive|\bcommunity data license agreement permissive(?: version 1 0)?\b
+cdla-permissive-1.0|90|community data license agreement permissive|\bcommunity data license agreement permissive version 1 0\b
+cdla-permissive|70|community data license agreement permissive|\bcommunity data license agreement permissive\b
 cdla-permissive-2.0|93|community data license agreement permissive|\bcommunity data license agreement permissive version 2 0\b
 cdla-sharing-1.0|90|community data license agreement sharing|\bcommunity data license agreement sharing\b
 ogl-3.0|88|open government licen|\bopen government licen[sc]e v?(?:ersion )?3 0\b
 ogl|75|open government licen|\bopen government licen[sc]e\b
-ofl-1.1|92|sil open font license|\bsil open font license(?: version 1 1)?\b
-ofl-1.1|80|open font license|\bopen font license\b
+ofl-1.1|92|sil open font license|\bsil open font license (?:version |v)?1 1\b
+ofl|70|sil open font license|\bsil open font license\b
+ofl-1.1|80|open font license|\bopen font license (?:version |v)?1 1\b
+ofl|65|open font license|\bopen font license\b
 ufl-1.0|90|ubuntu font licen|\bubuntu font licen[sc]e\b
 eupl-1.2|92|european union public licen|\beuropean union public licen[sc]e (?:v|version )? ?1 2\b
 eupl-1.1|92|european union public licen|\beuropean union public licen[sc]e (?:v|version )? ?1 1\b
@@ -167,14 +174,17 @@ cecill-c|90|cecill c|\bcecill c\b
 cecill|65|cecill|\bcecill\b
 ms-pl|90|microsoft public license|\bmicrosoft public license\b
 ms-rl|90|microsoft reciprocal license|\bmicrosoft reciprocal license\b
-nasa-1.3|90|nasa open source agreement|\bnasa open source agreement\b
+nasa-1.3|90|nasa open source agreement|\bnasa open source agreement (?:version |v)?1 3\b
+nasa|70|nasa open source agreement|\bnasa open source agreement\b
 ncsa|90|university of illinois ncsa|\buniversity of illinois ncsa open source license\b
 osl-3.0|90|open software license|\bopen software license(?: v| version)? ?3 0\b
 osl|65|open software license|\bopen software license\b
 afl-3.0|90|academic free license|\bacademic free license(?: v| version)? ?3 0\b
 afl|65|academic free license|\bacademic free license\b
-ecl-2.0|90|educational community license|\beducational community license(?: version)?(?: 2 0)?\b
-python-2.0|90|python software foundation license|\bpython software foundation license(?: version 2)?\b
+ecl-2.0|90|educational community license|\beducational community license (?:version |v)?2 0\b
+ecl|65|educational community license|\beducational community license\b
+python-2.0|90|python software foundation license|\bpython software foundation license (?:version |v)?2\b
+psf|70|python software foundation license|\bpython software foundation license\b
 psf|70|psf license|\bpsf license\b
 php-3.01|90|php license|\bphp license(?: version)? 3 01\b
 php|65|php license|\bphp license\b
@@ -191,10 +201,12 @@ vim|80|vim license|\bvim license\b
 tcl|70|tcl tk license|\btcl tk license\b
 ntp|70|ntp license|\bntp license\b
 hpnd|80|historical permission notice|\bhistorical permission notice and disclaimer\b
-qpl-1.0|85|q public license|\bq public license(?: version 1 0)?\b
+qpl-1.0|85|q public license|\bq public license (?:version |v)?1 0\b
+qpl|65|q public license|\bq public license\b
 sleepycat|85|sleepycat license|\bsleepycat license\b
 intel|70|intel open source license|\bintel open source license\b
-apsl-2.0|90|apple public source license|\bapple public source license(?: version 2 0)?\b
+apsl-2.0|90|apple public source license|\bapple public source license (?:version |v)?2 0\b
+apsl|65|apple public source license|\bapple public source license\b
 nokia|80|nokia open source license|\bnokia open source license\b
 sissl|80|sun industry standards source license|\bsun industry standards source license\b
 spl-1.0|80|sun public license|\bsun public license\b
@@ -203,7 +215,8 @@ mulanpsl-2.0|90|mulan psl|\bmulan psl(?: v| version)? ?2\b
 mulanpsl-1.0|90|mulan psl|\bmulan psl(?: v| version)? ?1\b
 blueoak-1.0.0|90|blue oak model license|\bblue oak model license\b
 sspl-1.0|90|server side public license|\bserver side public license\b
-busl-1.1|90|business source license|\bbusiness source license(?: 1 1)?\b
+busl-1.1|90|business source license|\bbusiness source license (?:version |v)?1 1\b
+busl|65|business source license|\bbusiness source license\b
 elastic-2.0|90|elastic license|\belastic license (?:2 0|v2)\b
 elastic|65|elastic license|\belastic license\b
 commons-clause|85|commons clause|\bcommons clause(?: license)?(?: condition)?\b
