@@ -155,3 +155,17 @@ def test_streams(spark, tmp_path):
     streams.run_available(streams.versioned(tail.select("stream", "sequence")), f"{tmp_path}/out", f"{tmp_path}/c2")
     found = spark.read.parquet(f"{tmp_path}/out").groupBy("stream").agg(F.sort_array(F.collect_list("version")).alias("v")).collect()
     assert {r.stream: r.v for r in found} == {f"s{i}": list(range(10)) for i in range(3)}
+
+
+def test_streamed_appends_and_versions_go_on_over_many_batches(spark, tmp_path):
+    schema = "stream string, pos long, type string, data string, sequence long"
+    for k in range(4):
+        rows = [(f"s{i % 3}", 10 * k + i, "t", "d", 10 * k + i) for i in range(10)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        tail = streams.tail(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+        streams.append_batches(tail.select("stream", "pos", "type", "data"), f"{tmp_path}/log", f"{tmp_path}/c1")
+        streams.run_available(streams.versioned(tail.select("stream", "sequence")), f"{tmp_path}/out", f"{tmp_path}/c2")
+    for path, order in ((f"{tmp_path}/log", "pos"), (f"{tmp_path}/out", "sequence")):
+        found = spark.read.parquet(path).orderBy("stream", order).groupBy("stream").agg(F.sort_array(F.collect_list(F.struct(order, "version"))).alias("v")).collect()
+        assert {r.stream: [x.version for x in r.v] for r in found} == {"s0": list(range(16)), "s1": list(range(12)), "s2": list(range(12))}
+    assert len(list((tmp_path / "log-versions").glob("batch=*"))) == 2

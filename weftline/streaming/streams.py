@@ -30,16 +30,21 @@ def run_available(stream: DataFrame, target: str, checkpoint: str) -> StreamingQ
 def append_batches(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
     """Appends ``stream(stream, pos, type, data)`` to a log, versioned batch by batch.
 
-    A batch writes a folder of its own, so that one which is run again replaces what it wrote.
+    A batch writes a folder of its own, so that one which is run again replaces what it wrote, and
+    beside the log, in ``<log>-versions``, the last version of every stream: the next batch joins its
+    streams with that one table and reads no earlier event. Tables older than two batches go.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = "stream string, version int, pos long, type string, data string"
-        written = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-        known = [f"{log}/batch={n}" for n in range(number)]
-        current = written.parquet(*known) if known else spark.createDataFrame([], schema)
-        append_any(current, batch).select("stream", "version", "pos", "type", "data").write.mode("overwrite").parquet(f"{log}/batch={number}")
+        schema = "stream string, version int"
+        before = spark.read.schema(schema).parquet(f"{log}-versions/batch={number - 1}") if number else spark.createDataFrame([], schema)
+        append_any(before, batch).select("stream", "version", "pos", "type", "data").write.mode("overwrite").parquet(f"{log}/batch={number}")
+        written = spark.read.schema(schema).parquet(f"{log}/batch={number}")
+        last = before.unionByName(written).groupBy("stream").agg(F.max("version").alias("version"))
+        last.write.mode("overwrite").parquet(f"{log}-versions/batch={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{log}-versions/batch={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
