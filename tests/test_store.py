@@ -2,8 +2,10 @@ import json
 import struct
 import threading
 import time
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +221,41 @@ def test_codecs_and_stored_blocks(spark):
     assert blocks.block_valid(torn).where("valid").count() == 0 and blocks.stored_events(torn).count() == 0
 
 
+class _Step:
+    """Stands for a table; keeps the step that an operator runs in Python."""
+
+    def select(self, *_):
+        return self
+
+    where = select
+
+    def mapInArrow(self, step, schema):
+        self.step = step
+        return self
+
+
+def test_stored_blocks_are_opened_a_part_at_once(spark):
+    plain = (struct.pack(">i", 1024) + bytes(1020)) * 1024
+    row = ("s", 0, 1024, len(plain), "LZ4", zlib.crc32(blocks.CHECKSUM_SEED + plain), codecs.pack(plain, "LZ4"))
+    odd = [(*row[:5], row[5] + 1, row[6]), (*row[:3], None, *row[4:]), (*row[:6], None), (*row[:3], 1 << 62, "NONE", *row[5:]), (*row[:2], None, *row[3:]), (*row[:5], None, row[6]), (*row[:3], -1, "NONE", *row[5:])]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+    names = [field.split()[0] for field in blocks.STORED.split(", ")]
+    batch, none = (pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names) for columns in (zip(*[row] * 20, *odd, *[row] * 20, strict=True), [()] * 7))
+    for operator, column, counted in ((blocks.block_valid, "valid", bool), (blocks.stored_events, "records", len)):
+        table = _Step()
+        operator(table)
+        tracemalloc.start()
+        found = [counted(x.as_py()) for out in table.step(iter([batch, none])) for x in out[column]]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [bool(x) for x in found] == [True] * 20 + [False] * len(odd) + [True] * 20
+        assert counted is bool or {x for x in found if x} == {1024}
+        assert peak < 8 << 20  # the batch holds 40 MB
+    whole = pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array([plain] * (batch.num_rows - 1) + [None], pa.binary())], names)
+    packed = list(blocks._packed(iter([whole]), "ZLIB"))
+    assert len(packed) > 30 and [x for out in packed for x in out["body"].to_pylist()] == [codecs.pack(plain, "ZLIB")] * (batch.num_rows - 1) + [None]
+
+
 def test_key_scan_is_by_signed_key(spark):
     events = spark.createDataFrame([("a", 1, 5), ("a", 0, 5), ("b", 0, -7), ("c", 0, 1 << 62)], "stream string, version int, h long")
     assert [(r.stream, r.version) for r in read.key_scan(events, F.col("h")).collect()] == [("b", 0), ("a", 0), ("a", 1), ("c", 0)]

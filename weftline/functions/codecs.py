@@ -36,7 +36,7 @@ def unpack(data: bytes, name: str, size: int) -> bytes:
     return found
 
 
-def _known(name: str) -> str:
+def known(name: str) -> str:
     if name not in NAMES:
         raise ValueError(f"codec must be one of {NAMES}, not {name!r}")
     return name
@@ -44,7 +44,7 @@ def _known(name: str) -> str:
 
 def compressed(name: str) -> Callable[[Column | str], Column]:
     """A function of a binary column; null stays null."""
-    _known(name)
+    known(name)
 
     @F.pandas_udf(T.BinaryType())
     def run(data: pd.Series) -> pd.Series:
@@ -55,7 +55,7 @@ def compressed(name: str) -> Callable[[Column | str], Column]:
 
 def decompressed(name: str) -> Callable[[Column | str, Column | str], Column]:
     """A function of a binary column and one with the sizes before compression; null stays null."""
-    _known(name)
+    known(name)
 
     @F.pandas_udf(T.BinaryType())
     def run(data: pd.Series, size: pd.Series) -> pd.Series:
